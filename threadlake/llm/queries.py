@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, secret_scan, toxicity
+from . import bpe, decontaminate, exact_dedup, html_extract, pii, quality, secret_scan, toxicity
 from .common import table
 
 #: The folder of public vocabulary files; never copied into this repository.
@@ -34,6 +34,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_table(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_html_extract": op8_html_extract,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
