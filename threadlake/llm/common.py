@@ -106,3 +106,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def to_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+_RANDOM = mix64(np.arange(1, 257, dtype=np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes hashed at once.
+_PIECES = 1 << 20
+
+
+def piece_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece of the bytes; pieces are not empty, in order, and don't overlap."""
+    out = np.zeros(len(begin), np.uint64)
+    if not len(begin):
+        return out
+    size = end - begin
+    total = np.cumsum(size)
+    powers = np.cumprod(np.full(int(size.max()), _BASE))
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + _PIECES)))
+        own = size[i:j]
+        first = np.cumsum(own) - own
+        at = np.arange(int(own.sum())) - np.repeat(first, own)
+        out[i:j] = np.add.reduceat(_RANDOM[data[np.repeat(begin[i:j], own) + at]] * powers[at], first)
+        i = j
+    return mix64(out)

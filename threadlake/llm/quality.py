@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Buffer, arrow_rows, map_batches, mix64
+from .common import Buffer, arrow_rows, map_batches, mix64, piece_hashes
 from .labelled import held_out, sample
 
 TRAIN = 4096
@@ -41,19 +41,6 @@ for _chars, _k in ((b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQRSTUV
 _CLASSES[128:] = 0
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\v\f\r")] = True
-_RANDOM = mix64(np.arange(1, 257, dtype=np.uint64))
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each piece of the bytes; pieces must be in order and not overlap."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    powers = np.cumprod(np.full(int((end - begin).max()), _BASE))
-    size = end - begin
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    v = _RANDOM[data[np.repeat(begin, size) + at]] * powers[at]
-    return mix64(np.add.reduceat(v, np.cumsum(size) - size))
 
 
 def _met_before(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -90,7 +77,7 @@ def counts(col: pa.Array) -> np.ndarray:
         begin, end = starts[:-1], starts[1:]
         keep = mask[begin]
         begin, end = begin[keep], end[keep]
-        h, of = _hashes(data, begin, end), doc[begin]
+        h, of = piece_hashes(data, begin, end), doc[begin]
         if kind == 0:
             again = np.zeros(len(h), bool)
             again[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
