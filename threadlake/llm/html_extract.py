@@ -103,6 +103,11 @@ def dropped(name: str, attributes: str) -> bool:
     return any(_DROP_WORDS.search(v.strip("\"'")) for _, v in _NAMED.findall(attributes))
 
 
+def _below(paths: list[str], lab: str) -> str:
+    """The container path of a new element; elements deeper than DEPTH have their ancestor's."""
+    return lab if not paths else f"{paths[-1]}>{lab}" if len(paths) < DEPTH else paths[-1]
+
+
 class Open:
     """The open elements of a page; open() and close() say which elements ended."""
 
@@ -169,7 +174,7 @@ def skeleton(page: str) -> tuple[list[Item], dict[str, list[int]]]:
                 continue
             del paths[open_.start(name) :]
             open_.names.append(name)
-            paths.append(f"{paths[-1]}>{lab}" if paths else lab)
+            paths.append(_below(paths, lab))
             link = int(name == "a" or (link and "a" in open_.names))
         else:
             tokens.append((">" + name, None, 0))
@@ -382,7 +387,7 @@ def _blocks(found: list[tuple[str, str, str]], region: str, named: bool) -> str
         left(depth)
         open_.names.append(name)
         lab = label(name, rest)
-        paths.append((paths[-1] + ">" if paths else "") + lab)
+        paths.append(_below(paths, lab))
         if drop < 0 and dropped(name, rest):
             drop, dropping = depth, name
             flush()

@@ -295,7 +295,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
 def _plausible(text: str, kind: str) -> bool:
     """Whether an added span has as many signs as its kind needs."""
     digits = sum("0" <= c <= "9" for c in text)
-    return {"email": "@" in text, "ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": LAST_DIGITS <= digits <= 15}[kind]
+    return {"email": "@" in text, "ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": LAST_DIGITS <= digits <= 15 and bool(re.search("[0-9]{3}", text))}[kind]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
