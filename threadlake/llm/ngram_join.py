@@ -8,13 +8,16 @@ Shingles are 64-bit hashes. The plan, in which equal sets are one class througho
    input, summed in each task first. The sketch gives all tasks one global order of shingles, rare ones first.
 2. Each class sends the prefix of its set to buckets of shingles. Linked sets share at least SHARED shingles of their
    prefixes (or as many as the smaller one needs), whatever the order. A shingle that the sketch counts more often than HOT
-   is split into cells for pairs of parts, so no cell holds more than about twice HOT. Within a bucket, classes that share
-   a shingle and whose sizes allow a link are counted; counts add up over buckets; pairs with too few are dropped.
-3. The pairs left are grouped by the least neighbour of the first class, large groups into cells for pairs of parts of CELL
-   classes. Sets are fetched for classes that pass a Bloom filter of fixed size. In each cell the sets go, in the global
-   order, into a path-compressed trie of the shingles that occur twice in the cell; one traversal carries the overlaps of
-   all sets with the path so far and drops those that the remaining lengths cannot bring to a link. Each pair belongs to one
-   cell, so links are counted once. Cells return a number of links for each class and a tree over linked ones, never pairs.
+   is split into cells for pairs of parts, so no cell holds more than about twice HOT. Classes with a common key out of
+   SKETCHES, each made of two least hashes of the prefix, meet in that key's cell without a row for each pair; that covers
+   nearly all pairs of a group of copies. Only the other pairs that share a shingle of a bucket, and whose sizes allow a link, are
+   counted; counts add up over buckets; pairs with too few are dropped.
+3. The pairs left are grouped by the least neighbour of the first class; large groups, and large cells, are split into cells
+   for pairs of parts of CELL classes. Sets are fetched for classes that pass a Bloom filter of fixed size. In each cell the
+   sets go, in the global order, into a path-compressed trie of the shingles that occur twice in the cell; one traversal
+   carries the overlaps of all sets with the path so far and drops those that the remaining lengths cannot bring to a link.
+   Each pair belongs to one cell, that of its first common key if it has one, so links are counted once. Cells return a
+   number of links for each class and a tree over linked ones, never pairs.
 4. Alternating large-star and small-star steps over these trees give components.
 
 Nothing unbounded is broadcast or collected: the sketch and the filter have fixed sizes. Tables are written to the shared
@@ -42,21 +45,25 @@ from .common import Buffer, arrow_rows, join_unique, map_batches, materialize, m
 
 PERCENT = 60
 SKETCH = 1 << 22
-SHARED = 4
+SHARED = 6
 HOT = 2000
-CELL = 400
+CELL = 1000
 FILTER = 1 << 23
 #: Prefix shingles in a bucket, about.
-BUCKET = 1_000_000
-#: Classes in a verification task, about.
-TASK = 2000
+BUCKET = 5_000_000
+#: Keys of a prefix, each of two least hashes.
+SKETCHES = 4
+#: Shingles of a part of a group of candidates, and of a verification task, about.
+CELL_SHINGLES = 600_000
+TASK = 1_000_000
 #: Pairs expanded at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SEEDS = mix64(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64))
 _K1, _K2, _ONE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -174,16 +181,17 @@ def _postings(docs: DataFrame, text_col: str, sketch, buckets: int) -> DataFrame
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         counts = sketch.value
-        own: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        own: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = {}
         for s in shingle_sets(b.column(0)):
             if len(s) and (cid := class_id(signature(s))) not in own:
                 t, c = ordered(s, counts)
                 k = prefix_length(len(s))
-                own[cid] = (len(s), t[:k], c[:k])
+                own[cid] = (len(s), t[:k], c[:k], least_hashes(t[:k]))
         if not own:
             return None
         cids = np.array(list(own), np.int64)
         sizes = np.array([v[0] for v in own.values()], np.int64)
+        hashes = np.stack([v[3] for v in own.values()])
         token = np.concatenate([v[1] for v in own.values()])
         count = np.concatenate([v[2] for v in own.values()])
         doc = np.repeat(np.arange(len(cids)), [len(v[1]) for v in own.values()])
@@ -193,6 +201,8 @@ def _postings(docs: DataFrame, text_col: str, sketch, buckets: int) -> DataFrame
             token, doc, side = _split(token, count, doc, side, hot, cids)
         mixed = mix64(token ^ _K2)
         bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+        homes = np.full(len(cids), buckets, np.int64)  # the bucket that reports the class
+        np.minimum.at(homes, doc, bucket)
         value = (mix64(token) >> np.uint64(26)) << np.uint64(2) | side  # 38 bits of the shingle, then the side
         order = np.lexsort((doc, bucket))
         bucket, value, doc = bucket[order], value[order], doc[order]
@@ -204,12 +214,19 @@ def _postings(docs: DataFrame, text_col: str, sketch, buckets: int) -> DataFrame
             who = of[new]
             v = value[i:j]
             n = np.diff(np.append(np.flatnonzero(new), j - i))
-            blobs.append(b"".join([np.array([len(who), j - i], "<u4").tobytes(), cids[who].astype("<i8").tobytes(), sizes[who].astype("<u4").tobytes(), n.astype("<u4").tobytes(), (v & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (v >> np.uint64(32)).astype(np.uint8).tobytes()]))
+            at_home = homes[who] == bucket[i]
+            blobs.append(b"".join([np.array([len(who), j - i], "<u4").tobytes(), cids[who].astype("<i8").tobytes(), (sizes[who] * 2 + at_home).astype("<u4").tobytes(), n.astype("<u4").tobytes(), hashes[who].tobytes(), (v & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (v >> np.uint64(32)).astype(np.uint8).tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
     return map_batches(docs.select(text_col), run, "bucket int, data binary")
 
 
+def least_hashes(prefix: np.ndarray) -> np.ndarray:
+    """SKETCHES keys of 32 bits, each made of the least hashes by two functions."""
+    least = mix64(prefix[None, :] ^ _SEEDS[:, None]).min(1)
+    return (mix64(least[::2] ^ mix64(least[1::2] ^ _K1)) >> np.uint64(32)).astype("<u4")
+
+
 def _split(token, count, doc, side, hot, cids):
     """Hot shingles as one for each cell of two parts; side 1 and 2 are the parts of a cell, 0 a cell of one part."""
     keep = np.ones(len(token), bool)
@@ -227,17 +244,26 @@ def _split(token, count, doc, side, hot, cids):
 
 
 def _pairs_in_bucket(group: pa.Table) -> pa.Table:
-    """Pairs of classes (a < b) with how many prefix shingles of the bucket they share and how many they need in all."""
-    cid, size, value = [], [], []
+    """Rows (a, hashes) of the classes at home in the bucket, and pairs of classes (a < b) without a common key, with
+    how many prefix shingles of the bucket they share and how many they need in all."""
+    which, value, every, sizes_of, home, least, base = [], [], [], [], [], [], 0
     for blob in group.column("data"):
         raw = blob.as_buffer()
         k, m = np.frombuffer(raw, "<u4", 2).tolist()
-        n = np.frombuffer(raw, "<u4", k, 8 + 12 * k)
-        cid.append(np.repeat(np.frombuffer(raw, "<i8", k, 8), n))
-        size.append(np.repeat(np.frombuffer(raw, "<u4", k, 8 + 8 * k), n))
-        at = 8 + 16 * k
+        wide = np.frombuffer(raw, "<u4", k, 8 + 8 * k)
+        every.append(np.frombuffer(raw, "<i8", k, 8))
+        sizes_of.append(wide // 2)
+        home.append(wide % 2 == 1)
+        which.append(np.repeat(np.arange(base, base + k, dtype=np.uint32), np.frombuffer(raw, "<u4", k, 8 + 12 * k)))
+        least.append(np.frombuffer(raw, "<u4", k * SKETCHES, 8 + 16 * k).reshape(k, SKETCHES))
+        at = 8 + (16 + 4 * SKETCHES) * k
         value.append(np.frombuffer(raw, "<u4", m, at).astype(np.uint64) | np.frombuffer(raw, np.uint8, m, at + 4 * m).astype(np.uint64) << np.uint64(32))
+        base += k
+    raw_ids, raw_sizes = np.concatenate(every), np.concatenate(sizes_of).astype(np.int64)
+    every, where = np.unique(raw_ids, return_index=True)
+    home, least = np.concatenate(home)[where], np.concatenate(least)[where]
     v = np.concatenate(value)
+    del value
     order = np.argsort(v >> np.uint64(2))
     v = v[order]
     token = v >> np.uint64(2)
@@ -246,8 +272,10 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
     twice = same.copy()
     twice[:-1] |= same[1:]
     v, token, order = v[twice], token[twice], order[twice]
-    cid, size = np.concatenate(cid)[order], np.concatenate(size)[order].astype(np.int64)
+    which = np.concatenate(which)[order]
+    cid, size = raw_ids[which], raw_sizes[which]
     ids, local = np.unique(cid, return_inverse=True)
+    hashes = least[np.searchsorted(every, ids)]
     side = (v & np.uint64(3)).astype(np.int8)
     run = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     order = np.lexsort((local, size, run))
@@ -264,20 +292,32 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
     sizes[local] = size
     i = 0
     while i < len(run):
-        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CHUNK, side="right")))
-        k = n[i:j]
-        x = np.repeat(np.arange(i, j), k)
+        stop = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CHUNK, side="right")))
+        k = n[i:stop]
+        x = np.repeat(np.arange(i, stop), k)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
         ok = (side[x] == 0) | (side[x] != side[y])
         p, q = local[x[ok]], local[y[ok]]
+        apart = np.ones(len(p), bool)
+        for j in range(SKETCHES):
+            apart &= hashes[p, j] != hashes[q, j]
+        p, q = p[apart], q[apart]
         key, c = np.unique(np.minimum(p, q) * len(ids) + np.maximum(p, q), return_counts=True)
         out_a.append(key // max(1, len(ids)))
         out_b.append(key % max(1, len(ids)))
         out_c.append(c)
-        i = j
+        i = stop
     a, b, c = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
     need = np.minimum(SHARED, needed(np.minimum(sizes[a], sizes[b])))
-    return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "c": pa.array(c, pa.int64()), "need": pa.array(need, pa.int64())})
+    at_home = np.flatnonzero(home)
+    m = len(at_home)
+    none = pa.nulls(m, pa.int64())
+    cols = [
+        pa.concat_arrays([pa.array(every[at_home], pa.int64()), pa.array(ids[a], pa.int64())]),
+        *(pa.concat_arrays([none, pa.array(v, pa.int64())]) for v in (ids[b], c, need)),
+        pa.concat_arrays([pa.array(least[at_home].tolist(), pa.list_(pa.int64())), pa.nulls(len(a), pa.list_(pa.int64()))]),
+    ]
+    return pa.Table.from_arrays(cols, names=["a", "b", "c", "need", "hashes"])
 
 
 def _candidate_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -309,11 +349,17 @@ class Trie:
         order = sorted(range(len(sequences)), key=lambda i: sequences[i].tolist())
         self.sequences, self.sizes = sequences, sizes
         self.root = self._node(order, 0)
+        found, todo = {0}, [(self.root, 0)]
+        while todo:  # from: the least item that can follow a node
+            node, start = todo.pop()
+            node["from"] = int(node["label"][-1]) + 1 if len(node["label"]) else start
+            found.add(node["from"])
+            todo += [(c, node["from"]) for c in node["children"]]
+        self.ends = sorted(found)
 
     def _node(self, order: list[int], depth: int):
         todo = [(order, depth, None)]
         root = None
-        made = []
         while todo:
             own, depth, parent = todo.pop()
             a, b = self.sequences[own[0]], self.sequences[own[-1]]
@@ -321,7 +367,6 @@ class Trie:
             differ = np.flatnonzero(a[depth : depth + k] != b[depth : depth + k]) if k > 0 else np.zeros(0, np.int64)
             end = depth + (int(differ[0]) if len(differ) else max(k, 0))
             node = {"label": a[depth:end], "children": [], "ends": [i for i in own if len(self.sequences[i]) == end], "least": min(int(self.sizes[i]) for i in own), "below": max(len(self.sequences[i]) for i in own) - end}
-            made.append(node)
             if parent is None:
                 root = node
             else:
@@ -347,23 +392,27 @@ def link_cell(sets: list[np.ndarray], sketch: np.ndarray, allowed: np.ndarray) -
     column = np.full(len(token), -1, np.int64)
     column[order] = np.arange(len(order))
     own = column[back]
-    edges = np.cumsum(sizes)
-    sequences = [np.sort(p[p >= 0]) for p in np.split(own, edges[:-1])]
-    g, w = len(sets), len(order)
-    member = np.zeros((g, w + 1), bool)
-    for i, s in enumerate(sequences):
-        member[i, s] = True
-    left = np.zeros((g, w + 1), np.int32)  # items from a column on
-    left[:, :w] = member[:, :w][:, ::-1].cumsum(1)[:, ::-1]
+    of = np.repeat(np.arange(len(sets)), sizes)
+    sequences = [np.sort(p[p >= 0]) for p in np.split(own, np.cumsum(sizes)[:-1])]
+    shared = own >= 0
+    by_column = np.argsort(own[shared], kind="stable")
+    holders = of[shared][by_column]  # of column after column
+    begin = np.append(0, np.cumsum(df[order]))
+    g = len(sets)
+    trie = Trie(sequences, sizes)
+    ends = {e: k for k, e in enumerate(trie.ends)}
+    at = np.array(trie.ends, np.int64)
+    left = np.stack([len(s) - np.searchsorted(s, at) for s in sequences]).astype(np.int32)  # items from the end of a node on
     out: list[tuple[int, np.ndarray]] = []
-    stack = [(Trie(sequences, sizes).root, np.arange(g), np.zeros(g, np.int64))]
+    stack = [(trie.root, np.arange(g), np.zeros(g, np.int64))]
     while stack:
         node, who, overlap = stack.pop()
-        if len(node["label"]):
-            overlap = overlap + member[np.ix_(who, node["label"])].sum(1)
-            after = left[who, node["label"][-1] + 1]
-        else:
-            after = left[who, 0]
+        lab = node["label"]
+        if len(lab):
+            n = begin[lab + 1] - begin[lab]
+            places = np.repeat(begin[lab] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            overlap = overlap + np.bincount(holders[places], minlength=g)[who]
+        after = left[who, ends[node["from"]]]
         least = -(-PERCENT * (sizes[who] + node["least"]) // (100 + PERCENT))
         live = overlap + np.minimum(after, node["below"]) >= least
         who, overlap = who[live], overlap[live]
@@ -380,7 +429,8 @@ def link_cell(sets: list[np.ndarray], sketch: np.ndarray, allowed: np.ndarray) -
 def _verify(sketch):
     def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         cell_of, cids, copies = sets.column("cell").to_numpy(), sets.column("cid").to_numpy(), sets.column("copies").to_numpy()
-        data = sets.column("set").to_pylist()
+        data, hashes = sets.column("set").to_pylist(), np.array(sets.column("hashes").to_pylist(), np.int64).reshape(-1, SKETCHES)
+        kind, part = sets.column("k").to_numpy(), sets.column("part").to_numpy()
         order = np.argsort(cell_of, kind="stable")
         first = np.flatnonzero(np.append(True, cell_of[order][1:] != cell_of[order][:-1])) if len(order) else []
         last = np.append(first[1:], len(order)) if len(order) else []
@@ -391,10 +441,18 @@ def _verify(sketch):
         for i, j in zip(first, last):
             own = order[i:j]
             own = own[np.argsort(cids[own], kind="stable")]
-            lo, hi = np.searchsorted(p_cell, cell_of[own[0]], "left"), np.searchsorted(p_cell, cell_of[own[0]], "right")
-            a, b = np.searchsorted(cids[own], p_a[lo:hi]), np.searchsorted(cids[own], p_b[lo:hi])
-            allowed = np.zeros((len(own), len(own)), bool)
-            allowed[a, b] = allowed[b, a] = True
+            k = int(kind[own[0]])
+            if k < 0:
+                lo, hi = np.searchsorted(p_cell, cell_of[own[0]], "left"), np.searchsorted(p_cell, cell_of[own[0]], "right")
+                a, b = np.searchsorted(cids[own], p_a[lo:hi]), np.searchsorted(cids[own], p_b[lo:hi])
+                allowed = np.zeros((len(own), len(own)), bool)
+                allowed[a, b] = allowed[b, a] = True
+            else:  # the first common key of a pair is the cell's
+                h, side = hashes[own], part[own]
+                allowed = (h[:, None, k] == h[None, :, k]) & ((side[:, None] < 0) | (side[:, None] != side[None, :]))
+                for e in range(k):
+                    allowed &= h[:, None, e] != h[None, :, e]
+                np.fill_diagonal(allowed, False)
             mult = copies[own]
             root = np.arange(len(own))
 
@@ -407,9 +465,11 @@ def _verify(sketch):
             links = np.zeros(len(own), np.int64)
             for x, found in link_cell([np.frombuffer(data[k], np.uint64) for k in own], sketch.value, allowed):
                 links[x] += mult[found].sum()
+                r = find(x)
                 for y in found.tolist():
-                    r, s = find(x), find(y)
-                    root[max(r, s)] = min(r, s)
+                    s = find(y)
+                    if r != s:
+                        root[max(r, s)] = r = min(r, s)
             for x in np.flatnonzero(links).tolist():
                 out_cid.append(cids[own[x]])
                 out_n.append(links[x])
@@ -442,36 +502,57 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     arrow_rows(spark)
     first = _first_pass(docs, id_col, text_col)
     rows = first.filter("block IS NULL").select("id", "n", "sig", "cid")
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("cid").alias("cid"))
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("cid").alias("cid"), F.min("n").alias("n"))
     total, shingles = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
     sketch = spark.sparkContext.broadcast(_sketch(first))
     buckets = max(1, math.ceil(shingles * (100 - PERCENT) / 100 / BUCKET))
 
-    pairs = _postings(docs, text_col, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pairs_in_bucket, "a bigint, b bigint, c bigint, need bigint")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
+    schema = "a bigint, b bigint, c bigint, need bigint, hashes array<bigint>"
+    found = _postings(docs, text_col, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pairs_in_bucket, schema)
+    found = materialize(found, "ngram-candidates")
+    pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
     pairs = materialize(pairs, "ngram-pairs")
-
+    about = classes.select("cid", "copies", "least", "sig", "n").join(found.filter("b IS NULL").select(F.col("a").alias("cid"), "hashes"), "cid")
+    about = materialize(about, "ngram-about")
+
+    # cells of classes with a common key
+    each = about.select("cid", "n", "hashes", F.posexplode("hashes").alias("k", "h")).withColumn("key", F.col("k") * F.lit(1 << 32) + F.col("h"))
+    same = [F.max(F.col("hashes")[j]) == F.min(F.col("hashes")[j]) for j in range(SKETCHES)]
+    redundant = F.lit(False)
+    for j in range(SKETCHES):  # all agree in an earlier key
+        redundant = redundant | ((F.max("k") > j) & same[j])
+    groups = each.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles"), redundant.alias("redundant")).filter("classes > 1 AND NOT redundant")
+    groups = groups.select("key", "classes", F.greatest(F.ceil(F.col("classes") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).alias("parts"))
+    own = join_unique(each.select("key", "cid", "k"), groups, "key", "classes", total * SKETCHES).withColumn("p", F.pmod(F.xxhash64("cid"), "parts"))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    side = F.when(F.col("p") == F.col("j"), -1).when(F.col("p") < F.col("j"), 0).otherwise(1)
+    alike = own.select(F.xxhash64("key", F.least("p", "j"), F.greatest("p", "j")).alias("cell"), "cid", "k", side.alias("part"))
+
+    # cells of the other pairs
     ends = pairs.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cid"), F.col("a").alias("other")))
     home = ends.groupBy("cid").agg(F.min("other").alias("m")).select(F.col("cid").alias("a"), F.least("cid", "m").alias("home"))
     homed = pairs.join(home, "a")
-    per_home = homed.select("home", "a").unionByName(homed.select("home", F.col("b").alias("a"))).distinct().groupBy("home").agg(F.count(F.lit(1)).alias("classes"))
-    parts = F.ceil(F.col("classes") / CELL)
+    size = about.select(F.col("cid").alias("a"), "n")
+    per_home = homed.select("home", "a").unionByName(homed.select("home", F.col("b").alias("a"))).distinct().join(size, "a").groupBy("home").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("classes") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES))
     x, y = F.pmod(F.xxhash64("a"), parts), F.pmod(F.xxhash64("b"), parts)
     celled = homed.join(per_home, "home").select("a", "b", F.xxhash64("home", F.least(x, y), F.greatest(x, y)).alias("cell"))
     celled = materialize(celled, "ngram-cells")
-    members = celled.select("cell", F.col("a").alias("cid")).unionByName(celled.select("cell", F.col("b").alias("cid"))).distinct()
-    found = classes.select("cid", "copies", "least", "sig")
-    nodes = ends.select("cid").distinct()
-    sets = _candidate_sets(docs, text_col, nodes).join(nodes, "cid", "left_semi")
-    tasks = max(1, math.ceil(members.count() / TASK))
-    members = members.join(found.select("cid", "copies"), "cid").join(sets, "cid").withColumn("task", F.pmod("cell", F.lit(tasks)))
+    listed = celled.select("cell", F.col("a").alias("cid")).unionByName(celled.select("cell", F.col("b").alias("cid"))).distinct().withColumns({"k": F.lit(-1), "part": F.lit(-1)})
+
+    members = materialize(alike.unionByName(listed).join(about.select("cid", "copies", "n", "hashes"), "cid"), "ngram-members")
+    nodes = members.select("cid").distinct()
+    sets = _candidate_sets(docs, text_col, nodes)
+    held = members.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    tasks = max(1, math.ceil(held / TASK))
+    members = members.join(sets, "cid").withColumn("task", F.pmod("cell", F.lit(tasks)))
     other = celled.select(F.col("cell").alias("at"), F.col("a").alias("x"), F.col("b").alias("y"), F.pmod("cell", F.lit(tasks)).alias("job"))
     done = members.groupBy("task").cogroup(other.groupBy("job")).applyInArrow(_verify(sketch), "cid bigint, links bigint, root bigint")
     done = materialize(done, "ngram-links")
 
     degree = done.groupBy("cid").agg(F.sum("links").alias("links"))
     trees = components(done.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    named = found.join(degree, "cid", "left").join(trees.withColumnRenamed("u", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = about.select("cid", "copies", "least", "sig").join(degree, "cid", "left").join(trees.withColumnRenamed("u", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.filter("links IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root", "left")
     named = materialize(named.select("sig", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "least").alias("component")), "ngram-classes")
