@@ -327,6 +327,28 @@ def test_substring_passage(spark):
     assert [(r["doc_id"], r["earlier_ids"], r["text"]) for r in got] == [(1, [0], "Other start here. Another end.")]
 
 
+def test_substring_passage_inside_sentences(spark):
+    rng = random.Random(8)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(40):  # a run of 51 to 70 words, at another place of a sentence in each of two texts
+        shared = made(rng.randint(51, 70))
+        if k % 2:
+            shared[rng.randint(5, 20)] += "."
+        texts += [" ".join([*made(rng.randint(0, 60)), *shared, *made(rng.randint(0, 30))]) for _ in range(2)]
+    texts += [" ".join(made(200)), "word " * 300]
+    got = {r["doc_id"]: r for r in substring_dedup.removals(docs(spark, texts)).collect()}
+    assert sorted(got) == [*range(1, 80, 2), 81]
+    for i, r in got.items():
+        lost = len(texts[i].split()) - len(r["text"].split())
+        assert lost == r["n_words_removed"] + r["n_passage_words"] >= substring_dedup.WORDS
+        if i < 80:
+            own, before, left = texts[i].split(), set(texts[i - 1].split()), set(r["text"].split())
+            assert r["earlier_ids"] == [i - 1] and all(w in before for w in own if w not in left)
+            assert all(set(own[k : k + 51]) - left for k in range(len(own) - 50) if set(own[k : k + 51]) <= before)
+    assert len(got[81]["text"].split()) >= substring_dedup.WORDS
+
+
 # ---- HTML
 
 

@@ -5,6 +5,12 @@ a run of at least SENTENCES consecutive sentences with at least WORDS words; of
 and of each end the shortest. All spans of all documents are hashed (96 bits over lower-cased words) and joined globally:
 every occurrence but the first, by document id and place, marks its sentences for removal.
 
+A passage that begins and ends inside sentences need not hold whole ones, so every text is also cut, whatever its sentences,
+where the hash of a word and the next is the least (the last of equals) of some PIECE in a row: pieces have at most PIECE
+words. From each cut the shortest run of at least two pieces with at least WORDS words is a span too, joined likewise; its
+words go. Any run of over 50 words that two texts share has the same cuts but for its first and last PIECE words, at least
+27 words apart, so it holds at least one equal span. In a text that repeats itself closely the first place stays whole.
+
 Within an Arrow batch occurrences after the batch's first are marked at once, so a span that a third of all documents
 share reaches the shuffle once a batch. The others go, packed by batch, to buckets of hashes, where one sort finds those
 that aren't the first. Only marks are joined to documents.
@@ -30,6 +36,10 @@ from .common import Buffer, arrow_rows, map_batches, materialize, mix64, piece_h
 SENTENCES = 2
 WORDS = 16
 LONG = 24
+#: Most words of a piece; a run of 2 * PIECE + WORDS + PIECE - 1 = 51 words holds a span of pieces.
+PIECE = 12
+#: Places from here on are numbers of words, below of sentences.
+AT_WORD = 1 << 31
 #: Spans in a bucket, about.
 BUCKET = 1_000_000
 
@@ -88,6 +98,32 @@ def spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return key // m, key % m
 
 
+def piece_spans(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of each span of pieces; words are hashes, doc is the document of each."""
+    n = len(words)
+    m = n - PIECE  # windows of PIECE words and the next
+    cut = np.ones(n, bool)
+    cut[1:] = doc[1:] != doc[:-1]
+    if m > 0:
+        key = mix64(words[:-1] * np.uint64(_BASES[0]) + words[1:])
+        best, at = key[:m].copy(), np.zeros(m, np.int64)
+        for k in range(1, PIECE):
+            less = key[k : k + m] <= best
+            best[less] = key[k : k + m][less]
+            at[less] = k
+        inside = np.flatnonzero(doc[:m] == doc[PIECE:])
+        cut[inside + at[inside]] = True
+    start = np.flatnonzero(cut)
+    stop = np.append(start[1:], n)
+    if len(start) < 2:
+        return start[:0], start[:0]
+    i = np.arange(len(start))
+    last = np.maximum(np.searchsorted(stop, start + WORDS), i + 1)
+    ok = last < len(start)
+    ok[ok] &= doc[start[last[ok]]] == doc[start[ok]]
+    return start[ok], stop[last[ok]]
+
+
 def span_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of the words from a up to b."""
     out = []
@@ -102,6 +138,11 @@ def span_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nda
     return out[0], out[1]
 
 
+def _after(s: np.ndarray, e: np.ndarray, same: np.ndarray, s0: np.ndarray, e0: np.ndarray) -> np.ndarray:
+    """Where removal begins: a span of pieces that overlaps its first place, in the same document, loses only what is beyond."""
+    return np.where(same & (s >= AT_WORD) & (s > s0) & (s <= e0), e0 + 1, s)
+
+
 def _marks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """Rows (bucket, data) for the global join and rows (id, s, e, first) of marks that a batch knows."""
 
@@ -110,12 +151,16 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
         buf = Buffer(b.column(1))
         begin, end, doc, start, stop = sentences(buf)
         s, e = spans(doc, start, stop)
-        if not len(s):
+        words = piece_hashes(_LOWER[buf.data], begin, end)
+        a, b = piece_spans(words, doc)
+        if not len(s) and not len(a):
             return None
-        h, g = span_hashes(piece_hashes(_LOWER[buf.data], begin, end), start[s], stop[e])
-        of = doc[start[s]]
-        local = np.searchsorted(start, np.searchsorted(doc, np.arange(buf.n)))  # the first sentence of each document
-        s, e = s - local[of], e - local[of]
+        h, g = span_hashes(words, np.append(start[s], a), np.append(stop[e], b))
+        h[len(s) :] ^= np.uint64(_BASES[1])  # spans of pieces meet only their like
+        of = doc[np.append(start[s], a)]
+        word0 = np.searchsorted(doc, np.arange(buf.n))
+        local = np.append(np.searchsorted(start, word0)[of[: len(s)]], word0[of[len(s) :]] - AT_WORD)  # where each document begins
+        s, e = np.append(s, a) - local, np.append(e, b - 1) - local
         order = np.lexsort((s, ids[of], g, h))
         h, g, of, s, e = h[order], g[order], of[order], s[order], e[order]
         again = np.zeros(len(h), bool)
@@ -124,6 +169,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
         head = np.repeat(group, np.diff(np.append(group, len(h))))
         first = ids[of[head]]
         mark = again & ((ids[of] != first) | (s != s[head]))
+        after = _after(s, e, ids[of] == first, s[head], e[head])
         h, g, of1, s1, e1 = h[~again], g[~again], of[~again], s[~again], e[~again]
         bucket = (mix64(h) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((of1, bucket))
@@ -132,13 +178,15 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
         blobs = []
         for i, j in zip(edge.tolist(), edge[1:].tolist()):
             own, back = np.unique(of1[i:j], return_inverse=True)
-            blobs.append(b"".join([np.array([len(own), j - i], "<u4").tobytes(), ids[own].astype("<i8").tobytes(), back.astype("<u2").tobytes(), s1[i:j].astype("<u4").tobytes(), (e1[i:j] - s1[i:j]).astype("<u2").tobytes(), h[i:j].astype("<u8").tobytes(), (g[i:j] >> np.uint64(32)).astype("<u4").tobytes()]))
+            places = b"".join([ids[own].astype("<i8").tobytes(), back.astype("<u2").tobytes(), s1[i:j].astype("<u4").tobytes(), (e1[i:j] - s1[i:j]).astype("<u2").tobytes()])
+            packed = pa.compress(places, codec="zstd", asbytes=True)
+            blobs.append(b"".join([np.array([len(own), j - i, len(packed)], "<u4").tobytes(), packed, h[i:j].astype("<u8").tobytes(), (g[i:j] >> np.uint64(32)).astype("<u4").tobytes()]))
         k, m = len(blobs), int(mark.sum())
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.nulls(m, pa.int32())]),
                 pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(m, pa.binary())]),
-                *(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x, pa.int64())]) for x in (ids[of[mark]], s[mark], e[mark], first[mark])),
+                *(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x, pa.int64())]) for x in (ids[of[mark]], after[mark], e[mark], first[mark])),
             ],
             names=["bucket", "data", "id", "s", "e", "first"],
         )
@@ -151,13 +199,13 @@ def _not_first(group: pa.Table) -> pa.Table:
     parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for blob in group.column("data"):
         raw = blob.as_buffer()
-        k, m = np.frombuffer(raw, "<u4", 2).tolist()
-        at = 8 + 8 * k
-        parts[0].append(np.frombuffer(raw, "<i8", k, 8)[np.frombuffer(raw, "<u2", m, at)])
-        parts[1].append(np.frombuffer(raw, "<u4", m, at + 2 * m).astype(np.int64))
-        parts[2].append(np.frombuffer(raw, "<u2", m, at + 6 * m).astype(np.int64))
-        parts[3].append(np.frombuffer(raw, "<u8", m, at + 8 * m))
-        parts[4].append(np.frombuffer(raw, "<u4", m, at + 16 * m))
+        k, m, size = np.frombuffer(raw, "<u4", 3).tolist()
+        places, at = pa.decompress(raw[12 : 12 + size], 8 * k + 8 * m, codec="zstd"), 8 * k
+        parts[0].append(np.frombuffer(places, "<i8", k)[np.frombuffer(places, "<u2", m, at)])
+        parts[1].append(np.frombuffer(places, "<u4", m, at + 2 * m).astype(np.int64))
+        parts[2].append(np.frombuffer(places, "<u2", m, at + 6 * m).astype(np.int64))
+        parts[3].append(np.frombuffer(raw, "<u8", m, 12 + size))
+        parts[4].append(np.frombuffer(raw, "<u4", m, 12 + size + 8 * m))
     ids, s, n, h, g = (np.concatenate(p) for p in parts)
     order = np.lexsort((s, ids, g, h))
     ids, s, n, h, g = ids[order], s[order], n[order], h[order], g[order]
@@ -167,54 +215,59 @@ def _not_first(group: pa.Table) -> pa.Table:
     head = np.repeat(group_at, np.diff(np.append(group_at, len(h))))
     first = ids[head]
     again &= (ids != first) | (s != s[head])
-    return pa.table({"id": pa.array(ids[again], pa.int64()), "s": pa.array(s[again], pa.int64()), "e": pa.array((s + n)[again], pa.int64()), "first": pa.array(first[again], pa.int64())})
+    after = _after(s, s + n, ids == first, s[head], (s + n)[head])
+    return pa.table({"id": pa.array(ids[again], pa.int64()), "s": pa.array(after[again], pa.int64()), "e": pa.array((s + n)[again], pa.int64()), "first": pa.array(first[again], pa.int64())})
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document that loses sentences: _id, spans (sorted array of first and last sentence), earlier (array of ids)."""
+    """Per document that loses words: _id, spans (sorted array of first and last sentence, or from AT_WORD on word), earlier (array of ids)."""
     arrow_rows(docs.sparkSession, 20_000)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")  # all spans of a batch are held at once
     size = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).head()[0]
-    buckets = max(1, math.ceil(size / 40 / BUCKET))
+    buckets = max(1, math.ceil(size / 20 / BUCKET))
     rows = materialize(_marks(docs, id_col, text_col, buckets), "span-marks")
     joined = rows.filter("bucket IS NOT NULL").select("bucket", "data").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_not_first, "id bigint, s bigint, e bigint, first bigint")
     every = joined.unionByName(rows.filter("bucket IS NULL").select("id", "s", "e", "first"))
     return every.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.array_sort(F.collect_set("first")).alias("earlier"))
 
 
-def _cut(text: str, spans_: list[tuple[int, int]]) -> tuple[str, int, int, int]:
-    """The text without the sentences of the spans; how many sentences it had, how many it lost, how many words."""
+def _cut(text: str, spans_: list[tuple[int, int]]) -> tuple[str, int, int, int, int]:
+    """What is left of the text; how many sentences it had, how many it lost, how many words in these, how many besides."""
     buf = Buffer(pa.array([text]))
-    begin, end, _, start, stop = sentences(buf)
-    gone = np.zeros(len(start) + 1, np.int64)
+    begin, _, _, start, stop = sentences(buf)
+    whole, part = np.zeros(len(start) + 1, np.int64), np.zeros(len(begin) + 1, np.int64)
     for a, b in spans_:
-        gone[a] += 1
-        gone[b + 1] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
+        gone, at = (part, AT_WORD) if a >= AT_WORD else (whole, 0)
+        gone[a - at] += 1
+        gone[b - at + 1] -= 1
+    lost = np.cumsum(whole)[:-1] > 0
+    inside = np.repeat(lost, stop - start)
+    gone = inside | (np.cumsum(part)[:-1] > 0)
     raw, out, at = buf.data.tobytes(), [], 0
-    for k in np.flatnonzero(gone).tolist():
-        a = int(begin[start[k]])
-        b = int(begin[stop[k]]) if stop[k] < len(begin) else len(raw)
-        out.append(raw[at:a])
-        at = b
+    edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        out.append(raw[at : begin[a]])
+        at = int(begin[b]) if b < len(begin) else len(raw)
     out.append(raw[at:])
-    return b"".join(out).decode(), len(start), int(gone.sum()), int((stop - start)[gone].sum())
+    return b"".join(out).decode(), len(start), int(lost.sum()), int(inside.sum()), int((gone & ~inside).sum())
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document that loses sentences: id, n_sentences, n_removed, n_words_removed, earlier_ids, text (what is left)."""
+    """Per document that loses words: id, n_sentences, n_removed, n_words_removed (in removed sentences), n_passage_words (removed
+    besides, in spans of pieces), earlier_ids, text (what is left)."""
     found = marks(docs, id_col, text_col)
     rows = docs.select(id_col, text_col).join(found.hint("shuffle_hash"), F.col(id_col) == F.col("_id")).select(id_col, text_col, "spans", "earlier")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [_cut(t, [(x["s"], x["e"]) for x in s]) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 3)), b.column(3), pa.array([g[0] for g in got], pa.string())], names=[id_col, "n_sentences", "n_removed", "n_words_removed", "earlier_ids", "text"])
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 3, 4)), b.column(3), pa.array([g[0] for g in got], pa.string())], names=[id_col, "n_sentences", "n_removed", "n_words_removed", "n_passage_words", "earlier_ids", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(rows, run, f"`{id_col}` {kind}, n_sentences bigint, n_removed bigint, n_words_removed bigint, earlier_ids array<bigint>, text string")
+    return map_batches(rows, run, f"`{id_col}` {kind}, n_sentences bigint, n_removed bigint, n_words_removed bigint, n_passage_words bigint, earlier_ids array<bigint>, text string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows, with the removed sentences cut out of their texts."""
+    """All rows, with the removed sentences and passages cut out of their texts."""
     found = marks(docs, id_col, text_col)
     names = docs.columns
     at = names.index(text_col)
@@ -228,4 +281,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
-__all__ = ["dedup", "marks", "removals", "sentences", "spans"]
+__all__ = ["dedup", "marks", "piece_spans", "removals", "sentences", "spans"]
