@@ -164,6 +164,23 @@ def test_automata_on_fresh_examples():
     assert not any(secret_scan.classify(x) for x in plain if x.isalpha())
 
 
+def test_credentials_inside_runs():
+    rng = random.Random(17)
+    for kind, made in secret_scan.examples(rng).items():
+        for before, after in (("GH_PAT=", ""), ("https://host.example/x/", ""), ("STRIPE_KEY=", "/more"), ("old-", "=")):
+            if after and kind in ("maps", "jwt", "lab", "key64"):
+                continue  # a sign may belong to these
+            hit = 0
+            for x in made[:100]:
+                t = f"see {before}{x}{after} now"
+                spans = secret_scan.all_spans(t, secret_scan.base_spans(t))
+                a = t.index(before) + len(before)
+                hit += any(k == kind and s <= a and e >= a + len(x) - 1 for s, e, k in spans) if kind == "key64" else (a, a + len(x), kind) in spans
+            assert hit >= (75 if kind == "key64" else 85), (kind, before, hit)
+    plain = [x for x in secret_scan.ordinary(rng) if len(x) >= secret_scan.MIN_CANDIDATE]
+    assert sum(bool(secret_scan.parts(x, [])) for x in plain) <= 0.002 * len(plain)
+
+
 def test_secret_table(spark):
     key = "ghp_" + "a1B2c3D4e5F6" * 3
     got = {r["doc_id"]: r for r in secret_scan.scan_table(docs(spark, [None, f"see {key} now", 'token = "0123456789abcdef0123"', LONG])).collect()}

@@ -6,7 +6,11 @@ For each credential format an automaton is inferred: labelled examples make a pr
 merged in red-blue order when the Hoeffding bound finds their outgoing and final frequencies, and those of all their
 successors, compatible. A candidate is scored by its mean log likelihood a character under the best automaton minus that
 under a background model of ordinary words, numbers, names of files and addresses; from THRESHOLD on it is a span of the
-format's kind unless a base span overlaps it. Labelled examples are made here from the public descriptions of the formats
+format's kind unless a base span overlaps it. Credentials behind a name, in a path or before a suffix are
+looked for inside every run: parts that begin where a literal prefix of a format occurs or, for the format without one,
+behind a sign, and end before a sign or with the run; of overlapping ones, the
+run among them, that with the largest log likelihood ratio stays.
+The format without a prefix has no more characters than its longest example. Labelled examples are made here from the public descriptions of the formats
 with a fixed seed, EXAMPLES a format, so the model is small, the same everywhere, and needs no pass over the data.
 
 Nothing is shuffled. Defined results: null counts as the empty text, which has no spans; texts of any length are scanned
@@ -37,6 +41,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
+#: Signs of a run; a part begins behind one and ends before one.
+SIGNS = frozenset("+/_=-")
+PREFIXES = {
+    "ghp_": "vcs", "gho_": "vcs", "ghs_": "vcs", "ghu_": "vcs", "glpat-": "lab", "xoxb-": "chat", "xoxp-": "chat", "xoxa-": "chat",
+    "sk_live_": "pay", "rk_live_": "pay", "pk_live_": "pay", "AIza": "maps", "eyJ": "jwt", "npm_": "npm",
+}
+_PREFIX = re.compile("|".join(PREFIXES))
+_BEHIND = re.compile(rf"(?<=[+/_=-])(?=[A-Za-z0-9+/]{{{MIN_CANDIDATE}}})")
+LONGEST = 44
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -179,8 +192,11 @@ class Background:
                 self.pair[a, b] = self.pair.get((a, b), 0) + 1
                 self.one[a] = self.one.get(a, 0) + 1
 
+    def step(self, a: str, b: str) -> float:
+        return math.log((self.pair.get((a, b), 0) + 1) / (self.one.get(a, 0) + 70))
+
     def score(self, s: list[str]) -> float:
-        return sum(math.log((self.pair.get((a, b), 0) + 1) / (self.one.get(a, 0) + 70)) for a, b in zip(["^", *s], s))
+        return sum(self.step(a, b) for a, b in zip(["^", *s], s))
 
 
 @cache
@@ -208,6 +224,34 @@ def classify(token: str) -> str | None:
     return kind
 
 
+def _ends(token: str, begin: int, kind: str) -> list[tuple[float, int, int, str]]:
+    """(log likelihood ratio, begin, end, kind) of the parts of a run from begin on that reach the threshold."""
+    found, background = models()
+    a = found[kind]
+    q, ratio, last, out = 0, 0.0, "^", []
+    for n, c in enumerate(symbols(token[begin : begin + LONGEST] if kind == "key64" else token[begin:]), 1):
+        p = a.log[q].get(c)
+        if p is None:
+            break
+        ratio += p - background.step(last, c)
+        q, last, end = a.next[q][c], c, begin + n
+        if n >= MIN_CANDIDATE and (end == len(token) or token[end] in SIGNS) and (ratio + a.end[q]) / n >= THRESHOLD:
+            out.append((ratio + a.end[q], begin, end, kind))
+    return out
+
+
+def parts(token: str, taken: list[tuple[int, int]], least: float = 0.0) -> list[tuple[int, int, str]]:
+    """Credentials inside a run, as begin, end and format, with a ratio above least; none overlaps another or a taken place."""
+    found = [x for m in _PREFIX.finditer(token) for x in _ends(token, m.start(), PREFIXES[m[0]])]
+    found += [x for m in _BEHIND.finditer(token) for x in _ends(token, m.start(), "key64")]
+    taken, out = list(taken), []
+    for ratio, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1:])):
+        if ratio > least and not any(x < b and a < y for x, y in taken):
+            taken.append((a, b))
+            out.append((a, b, kind))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     low = text.lower()
@@ -225,11 +269,18 @@ def all_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, in
         token = m[0]
         if token.isalpha() and (token.islower() or token[1:].islower() or token.isupper()):
             continue  # one case, letters only: no automaton reaches the threshold on it, as tests show
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        kind = classify(token)
+        at = m.start()
+        taken = [(a - at, b - at) for a, b, _ in base if a < m.end() and at < b]
+        kind = None if taken else classify(token)
+        least = 0.0
         if kind:
+            found, background = models()
+            s = symbols(token)
+            least = found[kind].score(s) - background.score(s)
+        inner = parts(token, taken, least)
+        if kind and not inner:
             added.append((*m.span(), kind))
+        added += [(at + a, at + b, k) for a, b, k in inner]
     return sorted(base + added, key=lambda x: (x[0], _ORDER[x[2]])) if added else base
 
 
