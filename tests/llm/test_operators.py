@@ -389,6 +389,17 @@ def test_wrapper_inference():
     assert html_extract.main_region(w) == "body>div[id=main]" and html_extract.extract(made(2), html_extract.main_region(w)).startswith("text text")
 
 
+@pytest.mark.parametrize("depth", [3, 12, 2000])
+def test_deep_main_region(depth):
+    made = lambda n: f"<html><body>{'<div>' * depth}<div class=content><p>{f'text{n} ' * 90}</div><div class=beside><p>{f'other{n} ' * 10}</div>{'</div>' * depth}</body></html>"
+    w = None
+    for n in range(4):
+        w = html_extract.fold(w, html_extract.wrapper_of(made(n)))
+    region = html_extract.main_region(w)
+    assert region == "html>body" + ">div" * depth + ">div[class=content]"
+    assert html_extract.extract(made(7), region) == " ".join(["text7"] * 90)
+
+
 def test_html_table(spark, tables, monkeypatch):
     plain = rows(html_extract.extract_table(tables["pages"]), "page_id", "url", "text", "n_chars")
     assert len(plain) == tables["pages"].count() and all(len(r[2]) == r[3] > 0 for r in plain)

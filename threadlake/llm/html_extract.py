@@ -21,6 +21,7 @@ results; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as _html
 import json
 import re
@@ -38,7 +39,6 @@ BROADCAST = 2000
 MAX_UNIT = 8
 #: Texts up to this length may be constants of a wrapper.
 CONSTANT = 80
-DEPTH = 6
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -103,9 +103,23 @@ def dropped(name: str, attributes: str) -> bool:
     return any(_DROP_WORDS.search(v.strip("\"'")) for _, v in _NAMED.findall(attributes))
 
 
-def _below(paths: list[str], lab: str) -> str:
-    """The container path of a new element; elements deeper than DEPTH have their ancestor's."""
-    return lab if not paths else f"{paths[-1]}>{lab}" if len(paths) < DEPTH else paths[-1]
+def _below(paths: list, lab: str):
+    """The container path of a new element, of any depth, as a running hash over its labels: its size doesn't grow with depth."""
+    if not paths:
+        return hashlib.blake2b(lab.encode(errors="replace"), digest_size=16)
+    h = paths[-1].copy()
+    h.update(b">" + lab.encode(errors="replace"))
+    return h
+
+
+def _rolled(own: dict[str, list]) -> dict[str, list]:
+    """Adds each container's sums, the first two values, to its parent's, the third; parents come before what they contain."""
+    for r in reversed(own.values()):
+        if r[2]:
+            up = own[r[2]]
+            up[0] += r[0]
+            up[1] += r[1]
+    return own
 
 
 class Open:
@@ -142,12 +156,13 @@ class Open:
 Item = tuple[str, "list[Item] | None", int]
 
 
-def skeleton(page: str) -> tuple[list[Item], dict[str, list[int]]]:
-    """A page's expression, and for each container path text and link characters."""
+def skeleton(page: str) -> tuple[list[Item], dict[str, list]]:
+    """A page's expression, and for each container path text and link characters, the path above and the label."""
     tokens: list[Item] = []
-    own: dict[str, list[int]] = {}
+    own: dict[str, list] = {}
     open_ = Open()
-    paths: list[str] = []
+    paths: list = []
+    keys: list[str] = []
     link = 0
     for kind, name, rest in stream(page):
         if kind == "t":
@@ -161,10 +176,8 @@ def skeleton(page: str) -> tuple[list[Item], dict[str, list[int]]]:
                 continue
             else:
                 tokens.append(("#", None, 0))
-            if paths:
-                r = own.get(paths[-1])
-                if r is None:
-                    r = own[paths[-1]] = [0, 0]
+            if keys:
+                r = own[keys[-1]]
                 r[0] += n
                 r[1] += n * link
         elif kind == "s":
@@ -172,21 +185,21 @@ def skeleton(page: str) -> tuple[list[Item], dict[str, list[int]]]:
             tokens.append(("<" + lab, None, 0))
             if name in _VOID:
                 continue
-            del paths[open_.start(name) :]
+            depth = open_.start(name)
+            del paths[depth:], keys[depth:]
             open_.names.append(name)
             paths.append(_below(paths, lab))
+            key = paths[-1].hexdigest()
+            if key not in own:
+                own[key] = [0, 0, keys[-1] if keys else "", lab]
+            keys.append(key)
             link = int(name == "a" or (link and "a" in open_.names))
         else:
             tokens.append((">" + name, None, 0))
-            del paths[open_.end(name) :]
+            depth = open_.end(name)
+            del paths[depth:], keys[depth:]
             link = int(link and "a" in open_.names)
-    regions: dict[str, list[int]] = {}
-    for path, (text, links) in own.items():
-        parts = path.split(">")
-        for d in range(1, min(len(parts), DEPTH) + 1):
-            r = regions.setdefault(">".join(parts[:d]), [0, 0])
-            r[0] += text
-            r[1] += links
+    regions = {k: r for k, r in _rolled(own).items() if r[0]}
     for _ in range(4):  # groups of groups
         n = len(tokens)
         tokens = collapse(tokens)
@@ -260,7 +273,7 @@ def fold(a: dict | None, b: dict) -> dict:
         a["items"] = align(a["items"], b["items"])
     a["n"] += b["n"]
     for k, v in b["regions"].items():
-        r = a["regions"].setdefault(k, [0, 0, 0])
+        r = a["regions"].setdefault(k, [0, 0, 0, *v[3:]])
         for i in range(3):
             r[i] += v[i]
     return a
@@ -281,47 +294,64 @@ def _tuples(items: list) -> list[Item]:
     return [(t, None if u is None else _tuples(u), o) for t, u, o in items]
 
 
-def constants(items: list[Item], path: list[str] | None = None, out: dict[str, int] | None = None) -> dict[str, int]:
+def constants(items: list[Item]) -> dict[str, int]:
     """Characters of constant texts below each container path of a wrapper."""
-    path, out = [] if path is None else path, {} if out is None else out
-    for token, unit, _ in items:
-        if unit is not None:
-            constants(unit, path, out)
-        elif token[0] == "<":
-            if token[1:].partition("[")[0] not in _VOID:
-                path.append(token[1:])
-        elif token[0] == ">":
-            for i in range(len(path) - 1, -1, -1):
-                if path[i].partition("[")[0] == token[1:]:
-                    del path[i:]
-                    break
-        elif len(token) > 1:
-            for d in range(1, min(len(path), DEPTH) + 1):
-                k = ">".join(path[:d])
-                out[k] = out.get(k, 0) + len(token) - 1
-    return out
+    own: dict[str, list] = {}
+    names: list[str] = []
+    paths: list = []
+    keys: list[str] = []
+
+    def walk(items: list[Item]) -> None:
+        for token, unit, _ in items:
+            if unit is not None:
+                walk(unit)
+            elif token[0] == "<":
+                name = token[1:].partition("[")[0]
+                if name not in _VOID:
+                    names.append(name)
+                    paths.append(_below(paths, token[1:]))
+                    key = paths[-1].hexdigest()
+                    own.setdefault(key, [0, 0, keys[-1] if keys else ""])
+                    keys.append(key)
+            elif token[0] == ">":
+                for i in range(len(names) - 1, -1, -1):
+                    if names[i] == token[1:]:
+                        del names[i:], paths[i:], keys[i:]
+                        break
+            elif len(token) > 1 and keys:
+                own[keys[-1]][0] += len(token) - 1
+
+    walk(items)
+    return {k: r[0] for k, r in _rolled(own).items() if r[0]}
 
 
 def main_region(w: dict) -> str:
     """The label of the main region's element: article, main, a path, or nothing for the body."""
+    regions = w["regions"]
     for name in ("article", "main"):
-        having = max((v[0] for k, v in w["regions"].items() if k.rpartition(">")[2].partition("[")[0] == name), default=0)
+        having = max((v[0] for v in regions.values() if v[4].partition("[")[0] == name), default=0)
         if 2 * having >= w["n"]:
             return name
     fixed = constants(w["items"])
-    mass = {}
-    for k, (_, text, link) in w["regions"].items():
-        parts = [p.partition("[") for p in k.split(">")]
-        if any(p[0] in _DROP or _DROP_WORDS.search(re.sub(r"\w+=", " ", p[2].rstrip("]"))) for p in parts) or parts[-1][0] in _INLINE or parts[-1][0] == "p":
-            continue
-        mass[k] = text - 2 * link - fixed.get(k, 0) * w["n"]
-    if not mass:
-        return ""
-    best, path = max(mass.values()), ""
-    for k in sorted(mass, key=lambda k: (k.count(">"), k)):
-        if mass[k] >= 0.8 * best and k.startswith(path) and mass[k] > 0:
+    mass, depth, apart = {}, {"": 0}, {"": False}
+    for k, (_, text, link, up, lab) in regions.items():
+        name, _, named = lab.partition("[")
+        depth[k] = depth[up] + 1
+        apart[k] = apart[up] or name in _DROP or bool(_DROP_WORDS.search(re.sub(r"\w+=", " ", named.rstrip("]"))))
+        if not apart[k] and name not in _INLINE and name != "p":
+            mass[k] = text - 2 * link - fixed.get(k, 0) * w["n"]
+    best, path = max(mass.values(), default=0), ""
+    for k in sorted((k for k, v in mass.items() if v > 0 and v >= 0.8 * best), key=lambda k: (depth[k], regions[k][4], k)):
+        up = k
+        while depth[up] > depth[path]:
+            up = regions[up][3]
+        if up == path:
             path = k
-    return path if path.rpartition(">")[2].partition("[")[0] not in ("html", "body", "") else ""
+    labels = []
+    while path:
+        labels.append(regions[path][4])
+        path = regions[path][3]
+    return ">".join(reversed(labels)) if labels and labels[0].partition("[")[0] not in ("html", "body") else ""
 
 
 def extract(page: str | None, region: str) -> str:
@@ -346,7 +376,8 @@ def _blocks(found: list[tuple[str, str, str]], region: str, named: bool) -> str
     out: list[str] = []
     piece: list[str] = []
     open_ = Open()
-    paths: list[str] = []
+    paths: list = []
+    place = _below([], region).digest()
     inside = 0 if not region else -1  # depth of the region's element
     drop = -1  # depth of the dropped element
     dropping = ""
@@ -391,7 +422,7 @@ def _blocks(found: list[tuple[str, str, str]], region: str, named: bool) -> str
         if drop < 0 and dropped(name, rest):
             drop, dropping = depth, name
             flush()
-        elif drop < 0 and inside < 0 and (name == region if named else paths[-1] == region):
+        elif drop < 0 and inside < 0 and (name == region if named else paths[-1].digest() == place):
             inside, met = depth, True
     flush()
     return "\n".join(out) if met else None
