@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Texts a Python worker gets at once; bounds its memory without cutting any text.
 ARROW_ROWS = 1000
+#: Bytes of a batch that a function sees at once; a longer row is one batch.
+BATCH_BYTES = 16 << 20
 
 _own: list[str] = []
 
@@ -53,13 +55,25 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from batch to batch."""
+def pieces(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of consecutive rows, each of about size bytes or one row; whatever session settings made of it."""
+    if b.nbytes <= size or b.num_rows < 2:
+        if b.num_rows:
+            yield b
+        return
+    half = b.num_rows // 2
+    yield from pieces(b.slice(0, half), size)
+    yield from pieces(b.slice(half), size)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with a function from batch to batch, each of about size bytes or one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
-                yield out
+            for part in pieces(b, size):
+                if (out := fn(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -121,11 +135,23 @@ def piece_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
         return out
     size = end - begin
     total = np.cumsum(size)
-    powers = np.cumprod(np.full(int(size.max()), _BASE))
+    powers = np.cumprod(np.full(min(int(size.max()), _PIECES), _BASE))
     i = 0
     while i < len(begin):
+        if size[i] > _PIECES:  # a long piece, block by block
+            shift, value = np.ones(1, np.uint64), np.zeros(1, np.uint64)
+            for a in range(int(begin[i]), int(end[i]), _PIECES):
+                block = data[a : min(a + _PIECES, int(end[i]))]
+                value += shift * (_RANDOM[block] * powers[: len(block)]).sum(dtype=np.uint64)
+                shift = shift * powers[len(block) - 1]
+            out[i] = value[0]
+            i += 1
+            continue
         j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + _PIECES)))
         own = size[i:j]
+        if j - i > 1 and own[-1] > _PIECES:
+            j -= 1
+            own = own[:-1]
         first = np.cumsum(own) - own
         at = np.arange(int(own.sum())) - np.repeat(first, own)
         out[i:j] = np.add.reduceat(_RANDOM[data[np.repeat(begin[i:j], own) + at]] * powers[at], first)
