@@ -4,12 +4,16 @@ A page becomes a stream of tags and texts. Consecutive equal groups of tokens co
 wrapper is found by aligning its pages' streams one after the other: equal tokens stay, differing texts become a text slot,
 tokens that only one side has become an optional group, and a group repeated on one side stays repeated. Wrappers fold
 within each Arrow batch first, then within PARTS parts of a host, then for the host, so a host with a third of all pages is
-no larger for any task. A wrapper also sums, for each container path, text and link text of the pages; constant texts are
-taken off again. The host's main region is `article`, else `main`, where at least half of its pages have one, else the
-deepest container path that holds most of the slot text outside links. Every page is then extracted from its main region
-without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+no larger for any task. A wrapper also sums, for each container path, text and link text of the pages.
 
-Wrappers are broadcast when they are at most BROADCAST rows; beyond that pages and wrappers are joined by host, where only hosts
+The wrapper decides what is extracted. A host's main region is the deepest container path that holds most of the slot
+text, outside links and constant texts, of all its pages, widened to the `article` or `main` around it. Texts in the region
+that the alignment found constant on all of at least ALIKE different pages are dropped too, unless they are a large part of it, as on
+hosts that serve one page only. Hosts without slots (one page, or equal pages) use `article`, `main` or the body. Inside the
+region, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by their tag, role
+or whole class names.
+
+Regions are broadcast when they and their marks are at most BROADCAST; beyond that pages and wrappers are joined by host, where only hosts
 with a large share of all pages, which are few, are broadcast.
 
 Defined results: null and empty html give the empty text; broken markup is read on: an unclosed element ends with the
@@ -36,19 +40,25 @@ from .common import arrow_rows, join_unique, map_batches, materialize
 
 PARTS = 32
 BROADCAST = 2000
-MAX_UNIT = 8
-#: Texts up to this length may be constants of a wrapper.
+#: Items of a repeated group at most; a longer one stays as it is, its repetitions as optional groups.
+MAX_UNIT = 64
+#: Longer texts are known by their hash.
 CONSTANT = 80
+#: Different pages of a host from which on constant texts are dropped, and the share of the region's text that they stay below.
+ALIKE = 4
+CONSTANT_SHARE = 0.2
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "math"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
-_DROP = frozenset(("head", "nav", "header", "footer", "aside", "form", "button", "select", "input", "label", "dialog", "menu"))
+_DROP = frozenset(("head", "nav", "header", "footer", "aside", "form", "button", "select", "input", "dialog", "menu"))
+_PLACE = r"(?:(?:site|page|main|top|bottom|global|primary|secondary|left|right|sub)[-_]?)?"
+#: Whole names, among those that white space separates.
 _DROP_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|"
-    r"comments?|commentlist|comment-\w+|disqus|replies|discussion|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|toolbar|pagination|pager|skip|widget|tags|byline-share|contentinfo|complementary|search)(?:$|[\s_-])",
+    rf"(?:^|\s){_PLACE}(?:ads?|adv|advert\w*|adsense|ad[-_](?:slot|unit|box|banner|container|wrapper)|banner|sponsor\w*|promo\w*|cookies?(?:[-_](?:notice|banner|consent|bar))?|consent|gdpr|notices?|popup|modal|overlay|side[-_]?bar|nav|navbar|navigation|nav[-_]?(?:menu|bar|links)|menu|breadcrumbs?|footer|header|masthead|"
+    r"comments?|comments?[-_]?(?:list|section|area|form|thread|box|body|wrap|wrapper|container|respond)|disqus(?:[-_]thread)?|replies|respond|share|sharing|share[-_](?:bar|buttons|links)|social|social[-_](?:bar|links|share|media)|related(?:[-_](?:posts?|articles?|links|stories))?|recommend\w*|newsletter(?:[-_]\w+)?|subscribe|signup|login|toolbar|pagination|pager|skip(?:[-_]link)?|widget|byline[-_]share|contentinfo|complementary|search(?:[-_](?:form|box|bar))?)(?=\s|$)",
     re.I,
 )
 _CLOSES = {  # an element that begins ends these, when they are the innermost open ones
@@ -152,10 +162,22 @@ class Open:
 
 
 #: An item of an expression: (token, None, optional), or ("+", unit, optional) for a repeated group. Tokens are "<" with a
-#: start tag's label, ">" with an end tag's name, "#" for a text slot and "#..." for a constant text.
+#: start tag's label, ">" with an end tag's name, "#" for a text slot and "#..." for a constant text or its length and hash.
 Item = tuple[str, "list[Item] | None", int]
 
 
+def constant(text: str) -> str:
+    """The token of a text, its white space joined."""
+    if len(text) <= CONSTANT:
+        return "#" + text
+    return f"#\0{len(text)}:{hashlib.blake2b(text.encode(errors='replace'), digest_size=12).hexdigest()}"
+
+
+def _size(token: str) -> int:
+    """Characters of a constant text."""
+    return int(token[2:].partition(":")[0]) if token[1:2] == "\0" else len(token) - 1
+
+
 def skeleton(page: str) -> tuple[list[Item], dict[str, list]]:
     """A page's expression, and for each container path text and link characters, the path above and the label."""
     tokens: list[Item] = []
@@ -166,16 +188,11 @@ def skeleton(page: str) -> tuple[list[Item], dict[str, list]]:
     link = 0
     for kind, name, rest in stream(page):
         if kind == "t":
-            n = len(rest)
-            if n <= CONSTANT:
-                text = _SPACES.sub(" ", rest).strip()
-                if not text:
-                    continue
-                tokens.append(("#" + text, None, 0))
-            elif rest.isspace():
+            text = _SPACES.sub(" ", rest).strip()
+            if not text:
                 continue
-            else:
-                tokens.append(("#", None, 0))
+            n = len(text)
+            tokens.append((constant(text), None, 0))
             if keys:
                 r = own[keys[-1]]
                 r[0] += n
@@ -224,8 +241,10 @@ def _same(x: Item, y: Item) -> Item:
 
 
 def collapse(items: list[Item]) -> list[Item]:
-    """Consecutive equal groups of up to MAX_UNIT items as one repeated group."""
+    """Consecutive equal groups of up to MAX_UNIT items as one repeated group, those of the fewest items first."""
     shapes = list(map(_shape, items))
+    known: dict[str, int] = {}
+    shapes = [known.setdefault(x, len(known)) for x in shapes]
     out: list[Item] = []
     i, n = 0, len(items)
     while i < n:
@@ -272,6 +291,7 @@ def fold(a: dict | None, b: dict) -> dict:
     if a["items"] != b["items"]:
         a["items"] = align(a["items"], b["items"])
     a["n"] += b["n"]
+    a["seen"] = sorted({*a["seen"], *b["seen"]})[:ALIKE]
     for k, v in b["regions"].items():
         r = a["regions"].setdefault(k, [0, 0, 0, *v[3:]])
         for i in range(3):
@@ -281,7 +301,8 @@ def fold(a: dict | None, b: dict) -> dict:
 
 def wrapper_of(page: str) -> dict:
     items, regions = skeleton(page)
-    return {"n": 1, "items": items, "regions": {k: [1, *v] for k, v in regions.items()}}
+    seen = hashlib.blake2b(page.encode(errors="replace"), digest_size=12).hexdigest()
+    return {"n": 1, "seen": [seen], "items": items, "regions": {k: [1, *v] for k, v in regions.items()}}
 
 
 def _load(text: str) -> dict:
@@ -294,17 +315,19 @@ def _tuples(items: list) -> list[Item]:
     return [(t, None if u is None else _tuples(u), o) for t, u, o in items]
 
 
-def constants(items: list[Item]) -> dict[str, int]:
-    """Characters of constant texts below each container path of a wrapper."""
+def constants(items: list[Item]) -> tuple[dict[str, int], list[tuple[list[str], str]]]:
+    """Characters of constant texts below each container path of a wrapper; and the constants that every page has, each
+    with the paths around it."""
     own: dict[str, list] = {}
     names: list[str] = []
     paths: list = []
     keys: list[str] = []
+    always: list[tuple[list[str], str]] = []
 
-    def walk(items: list[Item]) -> None:
-        for token, unit, _ in items:
+    def walk(items: list[Item], sure: bool) -> None:
+        for token, unit, optional in items:
             if unit is not None:
-                walk(unit)
+                walk(unit, sure and not optional)
             elif token[0] == "<":
                 name = token[1:].partition("[")[0]
                 if name not in _VOID:
@@ -319,26 +342,28 @@ def constants(items: list[Item]) -> dict[str, int]:
                         del names[i:], paths[i:], keys[i:]
                         break
             elif len(token) > 1 and keys:
-                own[keys[-1]][0] += len(token) - 1
+                own[keys[-1]][0] += _size(token)
+                if sure and not optional:
+                    always.append((list(keys), token))
+
+    walk(items, True)
+    return {k: r[0] for k, r in _rolled(own).items() if r[0]}, always
+
 
-    walk(items)
-    return {k: r[0] for k, r in _rolled(own).items() if r[0]}
+def _mark(path: str, token: str) -> str:
+    return hashlib.blake2b(f"{path}{token}".encode(errors="replace"), digest_size=12).hexdigest()
 
 
-def main_region(w: dict) -> str:
-    """The label of the main region's element: article, main, a path, or nothing for the body."""
+def main_region(w: dict) -> tuple[str, list[str]]:
+    """The label of the main region's element: a path, article, main, or nothing for the body; and the marks of constant texts in it."""
     regions = w["regions"]
-    for name in ("article", "main"):
-        having = max((v[0] for v in regions.values() if v[4].partition("[")[0] == name), default=0)
-        if 2 * having >= w["n"]:
-            return name
-    fixed = constants(w["items"])
+    fixed, always = constants(w["items"])
     mass, depth, apart = {}, {"": 0}, {"": False}
     for k, (_, text, link, up, lab) in regions.items():
         name, _, named = lab.partition("[")
         depth[k] = depth[up] + 1
         apart[k] = apart[up] or name in _DROP or bool(_DROP_WORDS.search(re.sub(r"\w+=", " ", named.rstrip("]"))))
-        if not apart[k] and name not in _INLINE and name != "p":
+        if not apart[k] and name not in _INLINE and name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tbody", "tr", "td", "blockquote", "pre"):
             mass[k] = text - 2 * link - fixed.get(k, 0) * w["n"]
     best, path = max(mass.values(), default=0), ""
     for k in sorted((k for k, v in mass.items() if v > 0 and v >= 0.8 * best), key=lambda k: (depth[k], regions[k][4], k)):
@@ -347,21 +372,37 @@ def main_region(w: dict) -> str:
             up = regions[up][3]
         if up == path:
             path = k
-    labels = []
+    labels, keys = [], []
     while path:
         labels.append(regions[path][4])
+        keys.append(path)
         path = regions[path][3]
-    return ">".join(reversed(labels)) if labels and labels[0].partition("[")[0] not in ("html", "body") else ""
+    labels.reverse()
+    keys.reverse()
+    for wanted in ("article", "main"):  # the outermost around the path
+        at = next((i for i, x in enumerate(labels) if x.partition("[")[0] == wanted), None)
+        if at is not None:
+            labels, keys = labels[: at + 1], keys[: at + 1]
+            break
+    if not labels or labels[-1].partition("[")[0] in ("html", "body"):
+        for name in ("article", "main"):
+            if 2 * max((v[0] for v in regions.values() if v[4].partition("[")[0] == name), default=0) >= w["n"]:
+                return name, []
+        return "", []
+    drop = [(p, t) for p, t in always if keys[-1] in p] if len(w["seen"]) >= ALIKE else []
+    if sum(_size(t) for _, t in drop) * w["n"] > CONSTANT_SHARE * regions[keys[-1]][1]:
+        drop = []
+    return ">".join(labels), sorted({_mark(p[-1], t) for p, t in drop})
 
 
-def extract(page: str | None, region: str) -> str:
-    """The main text of a page, its blocks joined by a line feed."""
+def extract(page: str | None, region: str, marks: frozenset[str] = frozenset()) -> str:
+    """The main text of a page, its blocks joined by a line feed, without the constant texts of its region."""
     if not page:
         return ""
     found = list(stream(page))
     named = region in ("article", "main")
     if region:
-        inside = _blocks(found, region, named)
+        inside = _blocks(found, region, named, marks)
         if inside is not None:
             return inside
     if not named:
@@ -372,7 +413,7 @@ def extract(page: str | None, region: str) -> str:
     return _blocks(found, "", True) or ""
 
 
-def _blocks(found: list[tuple[str, str, str]], region: str, named: bool) -> str | None:
+def _blocks(found: list[tuple[str, str, str]], region: str, named: bool, marks: frozenset[str] = frozenset()) -> str | None:
     out: list[str] = []
     piece: list[str] = []
     open_ = Open()
@@ -402,6 +443,8 @@ def _blocks(found: list[tuple[str, str, str]], region: str, named: bool) -> str
     for kind, name, rest in found:
         if kind == "t":
             if inside >= 0 and drop < 0:
+                if marks and paths and _mark(paths[-1].hexdigest(), constant(_SPACES.sub(" ", rest).strip())) in marks:
+                    rest = " "
                 piece.append(_html.unescape(rest))
             continue
         if name not in _INLINE:
@@ -433,7 +476,7 @@ def host_of(url_col: str):
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per host: region and n, the number of its pages; column wrapper holds the expression as JSON."""
+    """Per host: region, marks of constant texts, and n, the number of its pages; column wrapper holds the expression as JSON."""
     arrow_rows(pages.sparkSession)
 
     def per_batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -454,9 +497,10 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         w = None
         for text in sorted(group["wrapper"]):
             w = fold(w, _load(text))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(w)], "n": [w["n"]], "region": [main_region(w)]})
+        region, marks = main_region(w)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(w)], "n": [w["n"]], "region": [region], "marks": [marks]})
 
-    schema = "host string, wrapper string, n bigint, region string"
+    schema = "host string, wrapper string, n bigint, region string, marks array<string>"
     parts = map_batches(pages.select(host_of(url_col).alias("host"), F.col(html_col)), per_batch, "host string, wrapper string, n bigint")
     parts = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
     halves = parts.groupBy("host", "part").applyInPandas(merge, schema)
@@ -465,8 +509,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 def extract_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text, n_chars."""
-    found = materialize(wrappers(pages, url_col, html_col), "wrappers").select("host", "region", "n")
-    total, hosts = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
+    found = materialize(wrappers(pages, url_col, html_col), "wrappers").select("host", "region", "marks", "n")
+    total, hosts = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)) + F.coalesce(F.sum(F.size("marks")), F.lit(0))).head()
     rows = pages.select(id_col, url_col, html_col, host_of(url_col).alias("host"))
     if hosts <= BROADCAST:
         rows = rows.join(F.broadcast(found), "host", "left")
@@ -474,8 +518,8 @@ def extract_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         rows = join_unique(rows, found, "host", "n", total)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [extract(p, r or "") for p, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        texts = [extract(p, r or "", frozenset(m or ())) for p, r, m in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return map_batches(rows.select(id_col, url_col, html_col, "region"), run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint")
+    return map_batches(rows.select(id_col, url_col, html_col, "region", "marks"), run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars bigint")
