@@ -1,15 +1,15 @@
 r"""Benchmark decontamination with one FM-index per shard of training texts.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. Every run of WINDOW consecutive words of a benchmark
-item is a test phrase; an item of fewer words, but not none, is one phrase. A shard is one Arrow batch of documents. Its
-words become symbols: a number for each benchmark word, nothing for any other word. A phrase can only lie in a run of
-benchmark words at least as long as the shortest phrase, so the index holds just those runs, each behind a separator of
-its own; that loses nothing. Over this text: suffix array by prefix doubling, Burrows-Wheeler transform, wavelet matrix
-with bit ranks, and every SAMPLE-th suffix position. All phrases are searched backwards at once, and the found rows are
-located by steps back to a sampled position. Occurrences merge into removal spans.
+item is a test phrase; an item of fewer words, but not none, is one phrase. A shard is the texts of an Arrow
+batch, SHARD words at most, or a part of a longer text, which overlaps the next by WINDOW - 1 words. The index is over all its words,
+each distinct word a symbol, with a separator of its own before each document: suffix array by prefix doubling, Burrows-Wheeler
+transform, wavelet matrix with bit ranks, and every SAMPLE-th suffix position. All phrases are searched backwards at once,
+and the found rows are located by steps back to a sampled position. Occurrences merge into removal spans.
 
-Nothing is shuffled. The benchmark goes to the executors in blocks of at most BLOCK bytes of text, each its own broadcast,
-which a shard searches in turn, so no broadcast and no task's memory grows with the benchmark.
+Nothing is shuffled. The benchmark becomes phrases in blocks of at most BLOCK bytes of text, each its own broadcast,
+made once; a shard searches one after the other, and a worker holds one, so no broadcast and no task's memory grows with
+the benchmark.
 
 Defined results: a null or empty document has no words, no hits and the SHA-256 of the empty string; an item without words
 matches nothing; rows of the benchmark with one item_id count as one item, a null item_id is no item; repeated documents
@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import repeat
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ from .common import Buffer, arrow_rows, map_batches
 WINDOW = 8
 SAMPLE = 16
 BLOCK = 8 << 20
-#: Documents in a shard at most; its bytes are bounded by common.arrow_rows.
+#: Documents of a batch at most; its bytes are bounded by common.map_batches.
 SHARD_ROWS = 10_000
+#: Words of a shard.
+SHARD = 1 << 21
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -89,28 +91,31 @@ class FMIndex:
         self.places = sa[kept]
 
     @staticmethod
-    def _suffixes(rank: np.ndarray) -> np.ndarray:
-        n, k = len(rank), 1
-        while True:
-            top = int(rank.max()) + 2
-            follow = rank
-            key, width = rank.astype(np.uint64) + np.uint64(1), 1
-            per = max(2, int(63 // max(1, top.bit_length())))
-            shift = np.uint64(top.bit_length())
-            for w in range(1, min(per, 4)):  # as many symbols as fit
-                follow = np.zeros(n, np.uint64)
-                follow[: max(0, n - w * k)] = rank[w * k :].astype(np.uint64) + np.uint64(1)
-                key = (key << shift) | follow
-                width += 1
-            order = np.argsort(key)
-            s = key[order]
-            new = np.zeros(n, np.int64)
-            new[1:] = np.cumsum(s[1:] != s[:-1])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if int(new[-1]) == n - 1:
-                return order
-            k *= width
+    def _suffixes(text: np.ndarray) -> np.ndarray:
+        """The suffix array by prefix doubling; each round sorts only suffixes that are still equal to others."""
+        n = len(text)
+        order = np.argsort(text, kind="stable")
+        s = text[order]
+        new = np.append(True, s[1:] != s[:-1])
+        rank = np.empty(n, np.int64)  # of a group of equal beginnings, how many suffixes are less
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        alone = new & np.append(new[1:], True)
+        left, k = order[~alone], 1
+        while len(left):
+            follow = np.where(left + k < n, rank[np.minimum(left + k, n - 1)] + 1, 0)
+            key = rank[left] * (n + 1) + follow
+            by = np.argsort(key)
+            left, key = left[by], key[by]
+            group = key // (n + 1)
+            at = np.arange(len(left))
+            new = np.append(True, key[1:] != key[:-1])
+            first = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), at, 0))
+            rank[left] = group + np.maximum.accumulate(np.where(new, at, 0)) - first
+            alone = new & np.append(new[1:], True)
+            left, k = left[~alone], 2 * k
+        out = np.empty(n, np.int64)
+        out[rank] = np.arange(n)
+        return out
 
     def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for (ranks, zeros), b in zip(self.levels, range(self.depth - 1, -1, -1), strict=True):
@@ -151,78 +156,73 @@ class FMIndex:
 
 
 class Phrases:
-    """The test phrases of a block of items."""
+    """The test phrases of a block of items, made once and broadcast: arrays only, but for vocabulary and item names."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {}
         of: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
             for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
                 of.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
+        self.vocabulary = list(vocabulary)
         self.items = sorted({i for s in of.values() for i in s})
         number = {x: k for k, x in enumerate(self.items)}
-        self.by_length: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # phrases, and the items of each from place to place
         for n in sorted({len(p) for p in of}):
             own = [p for p in of if len(p) == n]
-            self.by_length.append((np.array(own, np.int64), [np.array(sorted(number[x] for x in of[p])) for p in own]))
-        self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
+            named = [sorted(number[x] for x in of[p]) for p in own]
+            self.by_length.append((np.array(own, np.int32), np.cumsum([0, *map(len, named)]), np.array([x for v in named for x in v], np.int32)))
 
 
-def scan(col: pa.Array, blocks: Iterator[Phrases]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+def scan(col: pa.Array, blocks: Iterable[Phrases]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Of a shard: the first word of each document with the end (n + 1 numbers), whether a word is hit, the items found."""
     buf = Buffer(col)
     text = buf.data.tobytes().translate(_TABLE)
     o = buf.offsets.tolist()
-    split = [text[a:b].split() for a, b in zip(o, o[1:])]
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = lambda: len(number) + 1
+    parts = []
+    for a, b in zip(o, o[1:]):
+        own = text[a:b].split()
+        parts.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+    del text
     first = np.zeros(buf.n + 1, np.int64)
-    np.cumsum([len(w) for w in split], out=first[1:])
+    np.cumsum([len(p) for p in parts], out=first[1:])
     total = int(first[-1])
     hit, found = np.zeros(total + 1, np.int64), [set() for _ in range(buf.n)]
-    for ph in blocks:
-        if not ph.shortest or not total:
-            continue
-        known = ph.vocabulary.get
-        ids = np.zeros(total + buf.n + 1, np.int32)  # one place before each document, so no run spans two
-        for k, w in enumerate(split):
-            if w:
-                ids[first[k] + k + 1 : first[k] + k + 1 + len(w)] = np.fromiter(map(known, w, repeat(0)), np.int32, len(w))
-        edge = np.diff((ids != 0).astype(np.int8))
-        begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-        if len(begin) > len(end):
-            end = np.append(end, len(ids))
-        long = end - begin >= ph.shortest
-        begin, end = begin[long], end[long]
-        if not len(begin):
-            continue
-        size = end - begin + 1  # with the separator
-        at = np.repeat(begin - 1 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        reduced = ids[at]
-        reduced[np.concatenate([[0], np.cumsum(size)[:-1]])] = 0
-        index = FMIndex(reduced, len(ph.vocabulary))
-        for phrases, items in ph.by_length:
-            lo, hi = index.search(phrases)
-            n = hi - lo
-            if not n.any():
-                continue
-            which = np.repeat(np.arange(len(n)), n)
-            rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            place = at[index.locate(rows)]
-            doc = np.searchsorted(first + np.arange(buf.n + 1), place, side="left") - 1
-            word = place - doc - 1
-            np.add.at(hit, word, 1)
-            np.add.at(hit, word + phrases.shape[1], -1)
-            pairs = np.unique(np.stack([doc, which]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-            for d, p in pairs.T.tolist():
-                found[d].update([ph.items[i] for i in items[p]])
+    if not total:
+        return first, hit[:-1] > 0, found
+    ids = np.zeros(total + buf.n, np.int32)  # a separator before each document, so no occurrence spans two
+    for k, p in enumerate(parts):
+        ids[first[k] + k + 1 : first[k] + k + 1 + len(p)] = p
+    parts.clear()
+    starts = first + np.arange(buf.n + 1)
+    for lo in range(0, len(ids), SHARD):
+        index = FMIndex(np.append(np.zeros(1, np.int32), ids[lo : lo + SHARD + WINDOW - 1]), len(number))
+        for ph in blocks:
+            known = np.array([number[w] if w in number else 0 for w in ph.vocabulary], np.int64)
+            for phrases, begin, items in ph.by_length:
+                own = known[phrases]
+                may = np.flatnonzero((own > 0).all(1))  # the others have words that the shard lacks
+                a, b = index.search(own[may])
+                n = b - a
+                if not n.any():
+                    continue
+                which = np.repeat(may, n)
+                rows = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                place = index.locate(rows) + lo - 1
+                doc = np.searchsorted(starts, place, side="left") - 1
+                word = place - doc - 1
+                np.add.at(hit, word, 1)
+                np.add.at(hit, word + phrases.shape[1], -1)
+                for d, p in np.unique(np.stack([doc, which]), axis=1).T.tolist():
+                    found[d].update([ph.items[i] for i in items[begin[p] : begin[p + 1]]])
     return first, np.cumsum(hit)[:-1] > 0, found
 
 
-_kept: dict[str, Phrases] = {}
-
-
 class Blocks:
-    """The benchmark in blocks, each broadcast as its items."""
+    """The benchmark in blocks, each broadcast as its phrases. A worker holds one block at a time."""
 
     def __init__(self, benchmark: DataFrame, item_col: str, text_col: str):
         context = benchmark.sparkSession.sparkContext
@@ -231,32 +231,27 @@ class Blocks:
             if item is None or not text:
                 continue
             if block and size + len(text) > BLOCK:
-                self.sent.append(context.broadcast(block))
+                self.sent.append(context.broadcast(Phrases(block)))
                 block, size = [], 0
             block.append((str(item), text))
             size += len(text)
         if block:
-            self.sent.append(context.broadcast(block))
+            self.sent.append(context.broadcast(Phrases(block)))
 
     def __iter__(self) -> Iterator[Phrases]:
-        if len(self.sent) == 1:  # kept for the worker's next shards
-            key = str(self.sent[0]._jbroadcast.id() if getattr(self.sent[0], "_jbroadcast", None) is not None else id(self.sent[0].value))
-            if key not in _kept:
-                _kept.clear()
-                _kept[key] = Phrases(self.sent[0].value)
-            yield _kept[key]
-        else:
-            for b in self.sent:
-                yield Phrases(b.value)
-
-
-def scan_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_items: int = 2) -> DataFrame:
+        for b in self.sent:
+            yield b.value
+            if len(self.sent) > 1 and getattr(b, "_path", None) is not None:
+                vars(b).pop("_value", None)  # read again from the executor's disk for the next shard
+
+
+def scan_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_items: int = 2) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    blocks = Blocks(benchmark, item_col, "text")
+    blocks = Blocks(benchmark, item_col, item_text_col)
     arrow_rows(docs.sparkSession, SHARD_ROWS)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        first, hit, found = scan(b.column(1), iter(blocks))
+        first, hit, found = scan(b.column(1), blocks)
         hits = np.concatenate([[0], np.cumsum(hit)])[first]
         shas = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in found]
         n = np.array([len(s) for s in found], np.int64)
@@ -287,16 +282,16 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", min_items: int = 2, length_col: str | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_items: int = 2, length_col: str | None = None) -> DataFrame:
     """The rows without the contaminated ones, and with the removal spans cut out of the rest; length_col, if any, gets
     the new number of code points of texts that were cut."""
-    blocks = Blocks(benchmark, item_col, "text")
+    blocks = Blocks(benchmark, item_col, item_text_col)
     arrow_rows(docs.sparkSession, SHARD_ROWS)
     names = docs.columns
     at = names.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        first, hit, found = scan(b.column(at), iter(blocks))
+        first, hit, found = scan(b.column(at), blocks)
         keep = np.array([len(s) < min_items for s in found])
         hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[first])
         cols = list(b.columns)
