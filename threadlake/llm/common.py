@@ -49,10 +49,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Sets how many rows, and about how many bytes, an Arrow batch to Python holds."""
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS, size: str = "16m") -> None:
+    """Sets how many rows, and about how many bytes, an Arrow batch to Python holds. Plans read it when they run, so it is
+    a hint: pieces() bounds what functions see."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def pieces(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,9 @@ AT_WORD = 1 << 31
 #: Spans in a bucket, about.
 BUCKET = 1_000_000
 #: Bytes of documents whose spans are held at once, but for longer texts.
-BATCH = 8 << 20
+BATCH = 9 << 20
+#: Slots that tell which documents may lose words.
+SLOTS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -294,7 +296,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WORDS) -> DataFrame:
     """Per document that loses words: _id, _spans (sorted array of first and last sentence, or from AT_WORD on word), _earlier (array of ids)."""
-    arrow_rows(docs.sparkSession, 20_000)
+    arrow_rows(docs.sparkSession, 20_000, "8m")  # a hint: BATCH is what bounds memory
     plain, names = _numbered(docs, id_col, text_col)
     size = plain.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).head()[0]
     buckets = max(1, math.ceil(size / 20 / BUCKET))
@@ -306,7 +308,17 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     else:
         every = every.join(names.select(F.col("_n").alias("id"), F.col("_i").alias("_id")), "id").join(names.select(F.col("_n").alias("first"), F.col("_i").alias("_f")), "first").select("_id", "s", "e", F.col("_f").alias("first"))
     # collect_set leaves nulls out, and null is an id like others
-    return every.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_spans"), F.array_sort(F.collect_set(F.struct("first"))).alias("_earlier")).select("_id", "_spans", F.col("_earlier.first").alias("_earlier"))
+    found = every.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_spans"), F.array_sort(F.collect_set(F.struct("first"))).alias("_earlier"))
+    return materialize(found.select("_id", "_spans", F.col("_earlier.first").alias("_earlier")), "span-marked")
+
+
+def _slot(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(SLOTS))
+
+
+def _slots(found: DataFrame) -> DataFrame:
+    """Slots of the documents that lose words, at most SLOTS rows: documents of other slots need no shuffle."""
+    return F.broadcast(found.select(_slot("_id").alias("_slot")).distinct())
 
 
 def _cut(buf: Buffer, spans_: list[tuple[int, int]]) -> tuple[bytes, int, int, int, int]:
@@ -338,7 +350,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """Per document that loses words: id, n_sentences, n_removed, n_words_removed (in removed sentences), n_passage_words (removed
     besides, in spans of pieces), earlier_ids, text (what is left). least: fewest words of a run of sentences."""
     found = marks(docs, id_col, text_col, least)
-    plain = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text"))
+    plain = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).withColumn("_slot", _slot("_i")).join(_slots(found), "_slot", "left_semi")
     rows = plain.join(found.hint("shuffle_hash"), F.col("_i").eqNullSafe(F.col("_id"))).select("_i", "_text", "_spans", "_earlier")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -356,7 +368,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     names = docs.columns
     at, key = names.index(text_col), names.index(id_col)
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # no name of documents can clash
-    rows = plain.join(found.hint("shuffle_hash").select("_id", "_spans"), F.col(f"c{key}").eqNullSafe(F.col("_id")), "left").select(*plain.columns, "_spans")
+    slotted = plain.withColumn("_slot", _slot(f"c{key}"))
+    some = slotted.join(_slots(found), "_slot", "left_semi").join(found.hint("shuffle_hash").select("_id", "_spans"), F.col(f"c{key}").eqNullSafe(F.col("_id")), "left")
+    others = slotted.join(_slots(found), "_slot", "left_anti").withColumn("_spans", F.lit(None).cast(found.schema["_spans"].dataType))
+    rows = some.select(*plain.columns, "_spans").unionByName(others.select(*plain.columns, "_spans"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         column = b.column(at)
