@@ -35,7 +35,6 @@ EXAMPLES = 300
 ALPHA = 0.05
 MIN_CANDIDATE = 16
 THRESHOLD = 0.6
-PREFIX = 5
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -46,8 +45,10 @@ SIGNS = frozenset("+/_=-")
 PREFIXES = {
     "ghp_": "vcs", "gho_": "vcs", "ghs_": "vcs", "ghu_": "vcs", "glpat-": "lab", "xoxb-": "chat", "xoxp-": "chat", "xoxa-": "chat",
     "sk_live_": "pay", "rk_live_": "pay", "pk_live_": "pay", "AIza": "maps", "eyJ": "jwt", "npm_": "npm",
+    "github_pat_": "vcs", "sk-proj-": "model", "hf_": "model", "dop_v1_": "cloud", "shpat_": "shop", "pypi-": "pypi",
 }
-_PREFIX = re.compile("|".join(PREFIXES))
+_PREFIX = re.compile("|".join(sorted(PREFIXES, key=len, reverse=True)))
+_STARTS = frozenset(p[:k] for p in PREFIXES for k in range(1, len(p) + 1))
 _BEHIND = re.compile(rf"(?<=[+/_=-])(?=[A-Za-z0-9+/]{{{MIN_CANDIDATE}}})")
 LONGEST = 44
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -62,13 +63,17 @@ def examples(rng: random.Random) -> dict[str, list[str]]:
     b64 = _ALNUM + "+/"
     url = _ALNUM + "-_"
     made = {
-        "vcs": lambda: rng.choice(["ghp_", "gho_", "ghs_", "ghu_"]) + pick(_ALNUM, 36),
+        "vcs": lambda: rng.choice(["ghp_", "gho_", "ghs_", "ghu_"]) + pick(_ALNUM, 36) if rng.random() < 0.8 else "github_pat_" + pick(_ALNUM, 22) + "_" + pick(_ALNUM, 59),
         "lab": lambda: "glpat-" + pick(url, 20),
         "chat": lambda: rng.choice(["xoxb-", "xoxp-", "xoxa-"]) + pick(_DIG, 12) + "-" + pick(_DIG, 12) + "-" + pick(_ALNUM, 24),
         "pay": lambda: rng.choice(["sk_live_", "rk_live_", "pk_live_"]) + pick(_ALNUM, rng.choice([24, 24, 32])),
         "maps": lambda: "AIza" + pick(url, 35),
         "jwt": lambda: "eyJ" + pick(url, rng.randint(30, 60)),
         "npm": lambda: "npm_" + pick(_ALNUM, 36),
+        "model": lambda: "sk-proj-" + pick(url, rng.randint(20, 64)) if rng.random() < 0.6 else "hf_" + pick(_ALNUM, 34),
+        "cloud": lambda: "dop_v1_" + pick(_DIG + "abcdef", 64),
+        "shop": lambda: "shpat_" + pick(_DIG + "abcdef", 32),
+        "pypi": lambda: "pypi-" + pick(url, rng.randint(60, 90)),
         "key64": lambda: pick(b64, 40) if rng.random() < 0.5 else pick(b64, 43) + "=",
     }
     return {kind: [f() for _ in range(EXAMPLES)] for kind, f in made.items()}
@@ -86,8 +91,11 @@ def ordinary(rng: random.Random) -> list[str]:
 
 
 def symbols(text: str) -> list[str]:
-    """The first PREFIX characters as they are, then classes: digits, a-f, g-z, A-F, G-Z, and signs as they are."""
-    return [*text[:PREFIX], *text[PREFIX:].translate(_CLASS)]
+    """What begins a literal prefix as it is, then classes: digits, a-f, g-z, A-F, G-Z, and signs as they are."""
+    k = 0
+    while text[: k + 1] in _STARTS and k < len(text):
+        k += 1
+    return [*text[:k], *text[k:].translate(_CLASS)]
 
 
 _CLASS = {ord(c): k for chars, k in ((_DIG, "0"), ("abcdef", "f"), ("ghijklmnopqrstuvwxyz", "z"), ("ABCDEF", "F"), ("GHIJKLMNOPQRSTUVWXYZ", "Z")) for c in chars}
@@ -206,7 +214,7 @@ def models() -> tuple[dict[str, Automaton], Background]:
     return found, Background([symbols(x) for x in ordinary(rng)])
 
 
-FORMATS = ("vcs", "lab", "chat", "pay", "maps", "jwt", "npm", "key64")
+FORMATS = ("vcs", "lab", "chat", "pay", "maps", "jwt", "npm", "model", "cloud", "shop", "pypi", "key64")
 KINDS = ("assign", "access", "hex", *FORMATS)
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
