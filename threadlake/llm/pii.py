@@ -11,8 +11,8 @@ which cuts the document into independent parts, so only tokens with such signs a
 a kind with probability from ADD on is part of a span unless it overlaps a base span; neighbours of one kind form one
 span, which must have as many digits as its kind needs.
 
-Weights are trained here: unary weights by gradient descent, the chain by counts, over sentences with marked tokens made
-with a fixed seed from the patterns' formats and from look-alikes (numbers failing Luhn, dates, prices, versions).
+Weights are trained here: unary weights by gradient descent, the chain by counts, the skip links by pseudo-likelihood over
+pairs of places with one number, all from sentences with marked tokens made with a fixed seed from the patterns' formats and from look-alikes (numbers failing Luhn, dates, prices, versions).
 
 Nothing is shuffled. Defined results: null counts as the empty text without spans; texts of any length are scanned whole in
 linear time; repeated rows are scanned each by itself; an empty table gives an empty result; extra columns are ignored;
@@ -37,7 +37,6 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 6
 ADD = 0.9
 LAST_DIGITS = 7
-SKIP = 2.5
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -105,7 +104,7 @@ def _features(token: str) -> list[int]:
     f.append(39 + core.isdigit())
     f.append(41 + any(c.isalpha() for c in core))
     f.append(43 + (13 <= n <= 19 and luhn(digits)))
-    f.append(45 + bool(IP.fullmatch(core)))
+    f.append(45 + (bool(IP.fullmatch(core)) and all(len(x) < 4 for x in core.split("."))))
     f.append(47 + (":" in core or "/" in core))
     f.append(49 + (n > 0 and n * 3 >= len(core) * 2))
     return f
@@ -138,9 +137,10 @@ def _train_data(rng: random.Random) -> list[tuple[list[str], list[int]]]:
         if k < 4:
             return [".".join(str(rng.randrange(256)) for _ in range(4))], 2
         if k == 4:
-            return [card(True)], 3
+            c = card(True)
+            return [c if rng.random() < 0.6 else ".".join(c[i : i + 4] for i in range(0, len(c), 4))], 3
         if k < 7:
-            return rng.choice([[f"+{num(1)}", f"({num(3)})", f"{num(3)}-{num(4)}"], [f"+{num(2)}", num(3), num(6)], [f"+{num(11)}"], [f"({num(3)})", f"{num(3)}-{num(4)}"]]), 4
+            return rng.choice([[f"+{num(1)}", f"({num(3)})", f"{num(3)}-{num(4)}"], [f"+{num(2)}", num(3), num(6)], [f"+{num(11)}"], [f"({num(3)})", f"{num(3)}-{num(4)}"], [f"{num(3)}-{num(3)}-{num(4)}"], [f"{num(3)}.{num(3)}.{num(4)}"], [f"0{num(3)}", num(6)]]), 4
         return rng.choice([[card(False)], [f"20{num(2)}-{num(2)}-{num(2)}"], [f"{num(2)}.{num(2)}"], [num(rng.randint(1, 8))], [f"v{num(1)}.{num(1)}.{num(1)}"], [f"{num(3)}.{num(2)}.{num(1)}"], [f"{word()}@"], ["@" + word()], [word() + num(2)], [num(40)], [f'"{num(2)}{word()}{num(6)}{word()}"'], [f"{num(2)}:{num(2)}"], [f"{num(3)}-{num(4)}"]]), 0
 
     out = []
@@ -159,9 +159,48 @@ def _train_data(rng: random.Random) -> list[tuple[list[str], list[int]]]:
     return out
 
 
+def _twice(rng: random.Random) -> list[tuple[list[str], list[int], list[int]]]:
+    """Sentences with a number that stands twice: tokens, labels, and the two places. What a bare number is, only the other
+    place tells."""
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    out = []
+    for _ in range(800):
+        d, area = num(7), num(3)
+        bare = rng.choice([[d], [f"{d[:3]}-{d[3:]}"], [f"0{area}", d], [f"{area}{d}"]])
+        if rng.random() < 0.6:
+            first, label = rng.choice([["+49", area, d], [f"+1{area}{d}"], [f"({area})", f"{d[:3]}-{d[3:]}"]]), 4
+        else:
+            first, label = rng.choice([[f"#{d}"], [f"{area}{d}"], [d]]), 0
+        words = ["the", "ing", *first, "er", "que", *bare, "re"]
+        at = [1 + len(first), 3 + len(first) + len(bare)]
+        other = label if rng.random() < 0.95 else 4 - label  # a number may be two things
+        labels = [0, 0, *[label] * len(first), 0, 0, *[other] * len(bare), 0]
+        out.append((words, labels, at))
+    return out
+
+
+def _skip_weight(w: np.ndarray) -> float:
+    """The log potential of equal labels at linked places, by pseudo-likelihood: each place given the label of the other."""
+    u, y, z = [], [], []
+    for tokens, labels, at in _twice(random.Random(20240503)):
+        own = _rows(tokens)[at] @ w
+        for a, b in ((0, 1), (1, 0)):
+            u.append(own[a])
+            y.append(labels[at[a]])
+            z.append(labels[at[b]])
+    u, y, z, s = np.array(u), np.array(y), np.array(z), 0.0
+    for _ in range(100):
+        e = u.copy()
+        e[np.arange(len(z)), z] += s
+        p = np.exp(e - e.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True))[np.arange(len(z)), z]
+        s += ((y == z) - p).mean() / max(1e-6, (p * (1 - p)).mean() + 1e-3)
+    return float(np.clip(s, 0, 8))
+
+
 @cache
-def weights() -> tuple[np.ndarray, np.ndarray]:
-    """Unary weights (features x labels) and chain potentials (labels x labels)."""
+def weights() -> tuple[np.ndarray, np.ndarray, float]:
+    """Unary weights (features x labels), chain potentials (labels x labels), and the skip links' potential of equal labels."""
     data = _train_data(random.Random(20240502))
     x = np.vstack([_rows(t) for t, _ in data])
     y = np.concatenate([np.array(k) for _, k in data])
@@ -179,17 +218,17 @@ def weights() -> tuple[np.ndarray, np.ndarray]:
         g = x.T @ (p - target) / len(y) + 1e-5 * w
         seen += g * g
         w -= 0.5 * g / np.sqrt(seen + 1e-8)
-    return w, np.clip(chain, -2, 2) * 0.5
+    return w, np.clip(chain, -2, 2) * 0.5, _skip_weight(w)
 
 
-def propagate(unary: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], potential: np.ndarray) -> np.ndarray:
+def propagate(unary: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], potential: np.ndarray, equal: float) -> np.ndarray:
     """Label probabilities by loopy belief propagation. unary: tokens x labels, logs; links: pairs of tokens."""
     edges = np.array(chain + skip, np.int64).reshape(-1, 2)
     n, k = unary.shape
     if not len(edges):
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    same = np.eye(k) * SKIP
+    same = np.eye(k) * equal
     pot = np.stack([potential] * len(chain) + [same] * len(skip))
     both = np.concatenate([pot, pot.transpose(0, 2, 1)])  # of the sender's label by the receiver's
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -235,7 +274,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         free = free or hit is None
     if not free:
         return []
-    w, potential = weights()
+    w, potential, equal = weights()
     tokens = [text[a:b] for a, b in starts]
     own = np.zeros((len(tokens), WIDTH))
     for i, t in enumerate(tokens):
@@ -271,7 +310,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     fixed = known > 0
     unary[fixed] = -30.0
     unary[fixed, known[fixed]] = 0.0
-    p = propagate(unary, chain, sorted(set(skip)), potential)
+    p = propagate(unary, chain, sorted(set(skip)), potential, equal)
     out: list[tuple[int, int, str]] = []
     linked = {j for _, j in chain}
     for i in np.flatnonzero(~fixed).tolist():
