@@ -98,8 +98,10 @@ def signature(s: np.ndarray) -> bytes:
     return hashlib.md5(s.tobytes()).digest()
 
 
-def class_id(sig: bytes) -> int:
-    return int.from_bytes(sig[:8], "little", signed=True)
+def class_id(sig: bytes, met: frozenset[int] = frozenset()) -> int:
+    """A name of 64 bits: the first half of the signature, or the second for those of a first half that two signatures share."""
+    first = int.from_bytes(sig[:8], "little", signed=True)
+    return int.from_bytes(sig[8:], "little", signed=True) if first in met else first
 
 
 def needed(n: np.ndarray | int):
@@ -112,6 +114,13 @@ def prefix_length(n: int) -> int:
     return n - least + min(SHARED, least)
 
 
+def near_length(n: int) -> int:
+    """How much of the prefix any set that is no smaller can ask for: the overlap is then at least 2 * PERCENT / (100 + PERCENT)
+    of the smaller set."""
+    least = -(-2 * PERCENT * n // (100 + PERCENT))
+    return n - least + min(SHARED, needed(n))
+
+
 def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, n, sig) of documents, and rows (block, counts) of the sketch."""
 
@@ -176,14 +185,14 @@ def ordered(s: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[o], c[o]
 
 
-def _postings(docs: DataFrame, text_col: str, sketch, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, text_col: str, sketch, buckets: int, met: frozenset[int]) -> DataFrame:
     """Rows (bucket, data): per batch and bucket, classes with their prefix shingles in that bucket."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         counts = sketch.value
         own: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = {}
         for s in shingle_sets(b.column(0)):
-            if len(s) and (cid := class_id(signature(s))) not in own:
+            if len(s) and (cid := class_id(signature(s), met)) not in own:
                 t, c = ordered(s, counts)
                 k = prefix_length(len(s))
                 own[cid] = (len(s), t[:k], c[:k], least_hashes(t[:k]))
@@ -194,8 +203,10 @@ def _postings(docs: DataFrame, text_col: str, sketch, buckets: int) -> DataFrame
         hashes = np.stack([v[3] for v in own.values()])
         token = np.concatenate([v[1] for v in own.values()])
         count = np.concatenate([v[2] for v in own.values()])
-        doc = np.repeat(np.arange(len(cids)), [len(v[1]) for v in own.values()])
-        side = np.zeros(len(token), np.uint64)
+        length = np.array([len(v[1]) for v in own.values()])
+        doc = np.repeat(np.arange(len(cids)), length)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+        side = np.where(place < np.repeat([near_length(n) for n in sizes.tolist()], length), 0, 4).astype(np.uint64)
         hot = np.flatnonzero(count > HOT)
         if len(hot):
             token, doc, side = _split(token, count, doc, side, hot, cids)
@@ -203,7 +214,7 @@ def _postings(docs: DataFrame, text_col: str, sketch, buckets: int) -> DataFrame
         bucket = (mixed % np.uint64(buckets)).astype(np.int64)
         homes = np.full(len(cids), buckets, np.int64)  # the bucket that reports the class
         np.minimum.at(homes, doc, bucket)
-        value = (mix64(token) >> np.uint64(26)) << np.uint64(2) | side  # 38 bits of the shingle, then the side
+        value = (mix64(token) >> np.uint64(27)) << np.uint64(3) | side  # 37 bits of the shingle, whether it is far, then the side
         order = np.lexsort((doc, bucket))
         bucket, value, doc = bucket[order], value[order], doc[order]
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -239,7 +250,7 @@ def _split(token, count, doc, side, hot, cids):
         lo, hi = np.minimum(p, j).astype(np.uint64), np.maximum(p, j).astype(np.uint64)
         tokens.append(mix64(token[i] + (lo * np.uint64(parts) + hi + np.uint64(1)) * _K1))
         docs.append(np.full(parts, doc[i]))
-        sides.append(np.where(j == p, 0, np.where(j > p, 1, 2)).astype(np.uint64))
+        sides.append(np.where(j == p, 0, np.where(j > p, 1, 2)).astype(np.uint64) | side[i])
     return np.concatenate(tokens), np.concatenate(docs), np.concatenate(sides)
 
 
@@ -262,30 +273,30 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
     raw_ids, raw_sizes = np.concatenate(every), np.concatenate(sizes_of).astype(np.int64)
     every, where = np.unique(raw_ids, return_index=True)
     home, least = np.concatenate(home)[where], np.concatenate(least)[where]
-    v = np.concatenate(value)
+    once = np.zeros(len(raw_ids), bool)  # all batches send the same of a class
+    once[where] = True
+    which, v = np.concatenate(which), np.concatenate(value)
     del value
-    order = np.argsort(v >> np.uint64(2))
+    which, v = which[once[which]], v[once[which]]
+    order = np.argsort(v >> np.uint64(3))
     v = v[order]
-    token = v >> np.uint64(2)
+    token = v >> np.uint64(3)
     same = np.zeros(len(v), bool)
     same[1:] = token[1:] == token[:-1]
     twice = same.copy()
     twice[:-1] |= same[1:]
     v, token, order = v[twice], token[twice], order[twice]
-    which = np.concatenate(which)[order]
+    which = which[order]
     cid, size = raw_ids[which], raw_sizes[which]
     ids, local = np.unique(cid, return_inverse=True)
     hashes = least[np.searchsorted(every, ids)]
-    side = (v & np.uint64(3)).astype(np.int8)
+    side, far = (v & np.uint64(3)).astype(np.int8), (v & np.uint64(4)) > 0
     run = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     order = np.lexsort((local, size, run))
-    run, size, local, side = run[order], size[order], local[order], side[order]
-    fresh = np.ones(len(run), bool)  # one posting for each class and shingle
-    fresh[1:] = (run[1:] != run[:-1]) | (local[1:] != local[:-1])
-    run, size, local, side = run[fresh], size[fresh], local[fresh], side[fresh]
+    run, size, local, side, far = run[order], size[order], local[order], side[order], far[order]
     wide = np.int64(int(size.max()) * 2 + 2) if len(size) else np.int64(1)
     last = np.searchsorted(run * wide + size, run * wide + np.minimum(size * 100 // PERCENT, wide - 1), side="right")
-    n = np.maximum(last - np.arange(len(run)) - 1, 0)
+    n = np.where(far, 0, np.maximum(last - np.arange(len(run)) - 1, 0))  # the smaller set's shingle must be near
     total = np.cumsum(n)
     out_a, out_b, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     sizes = np.zeros(len(ids), np.int64)
@@ -296,7 +307,7 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
         k = n[i:stop]
         x = np.repeat(np.arange(i, stop), k)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
-        ok = (side[x] == 0) | (side[x] != side[y])
+        ok = ((side[x] == 0) | (side[x] != side[y])) & ~(far[y] & (size[x] == size[y])) & (local[x] != local[y])
         p, q = local[x[ok]], local[y[ok]]
         apart = np.ones(len(p), bool)
         for j in range(SKETCHES):
@@ -320,7 +331,7 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(cols, names=["a", "b", "c", "need", "hashes"])
 
 
-def _candidate_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+def _candidate_sets(docs: DataFrame, text_col: str, nodes: DataFrame, met: frozenset[int]) -> DataFrame:
     """Rows (cid, set) for at least all classes in nodes."""
     slot = F.pmod(F.col("cid"), F.lit(FILTER)) + 1
     bits = nodes.select(F.bitmap_bucket_number(slot).alias("k"), F.bitmap_bit_position(slot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
@@ -332,7 +343,7 @@ def _candidate_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFra
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         own = {}
         for s in shingle_sets(b.column(0)):
-            if len(s) and (cid := class_id(signature(s))) not in own:
+            if len(s) and (cid := class_id(signature(s), met)) not in own:
                 at = cid % FILTER
                 if sent.value[at >> 3] >> (at & 7) & 1:
                     own[cid] = s.tobytes()
@@ -506,9 +517,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total, shingles = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
     sketch = spark.sparkContext.broadcast(_sketch(first))
     buckets = max(1, math.ceil(shingles * (100 - PERCENT) / 100 / BUCKET))
+    # of distinct sets about n * n / 2 ** 65 pairs share half a signature: some tens in 3e10
+    met = frozenset(r["cid"] for r in classes.groupBy("cid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("cid").collect())
+    if met:
+        named = F.udf(lambda sig: class_id(bytes(sig), met), "bigint")
+        classes = classes.withColumn("cid", named("sig"))
 
     schema = "a bigint, b bigint, c bigint, need bigint, hashes array<bigint>"
-    found = _postings(docs, text_col, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pairs_in_bucket, schema)
+    found = _postings(docs, text_col, sketch, buckets, met).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pairs_in_bucket, schema)
     found = materialize(found, "ngram-candidates")
     pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
     pairs = materialize(pairs, "ngram-pairs")
@@ -542,7 +558,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     members = materialize(alike.unionByName(listed).join(about.select("cid", "copies", "n", "hashes"), "cid"), "ngram-members")
     nodes = members.select("cid").distinct()
-    sets = _candidate_sets(docs, text_col, nodes)
+    sets = _candidate_sets(docs, text_col, nodes, met)
     held = members.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     tasks = max(1, math.ceil(held / TASK))
     members = members.join(sets, "cid").withColumn("task", F.pmod("cell", F.lit(tasks)))
