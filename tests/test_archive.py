@@ -137,6 +137,68 @@ def test_deep_thread(spark):
     assert tree.build(c.limit(0), s).count() == 0
 
 
+def _forest(rows):
+    """(id, parent, depth, place, size) by recursion; rows: thread, id, parent id, siblings in order."""
+    out = {}
+    for t in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == t]
+        ids = {r[1] for r in own}
+        place = 0
+        todo = [(r, None, 0) for r in reversed(own) if r[2] not in ids]
+        found = []
+        while todo:
+            r, up, depth = todo.pop()
+            found.append((r[1], up, depth, place))
+            place += 1
+            todo += [(c, r[1], depth + 1) for c in reversed(own) if c[2] == r[1]]
+        out |= {(t, f[0]): (*f[1:], len(found)) for f in found}
+    return out
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_tree_against_recursion(spark, monkeypatch, large):
+    import random
+
+    rng = random.Random(5)
+    rows, n = [], 0
+    for t in range(30):
+        size = rng.choice([0, 1, 2, 5, 40])
+        ids = [f"{t}x{k}" for k in range(size)]
+        for k, i in enumerate(ids):
+            up = rng.choice([*ids[: k + 1], *ids, "gone", "top"]) if rng.random() < 0.2 else rng.choice([*ids[max(0, k - 3) : k], "top"])
+            rows.append((f"t{t}", i, up, n))
+            n += 1
+    monkeypatch.setattr(tree, "LARGE", 4 if large else 10**9)
+    monkeypatch.setattr(tree, "PART", 7)
+    c = spark.createDataFrame([(i, f"t3_{t}", f"t1_{p}", "a", k // 3, k, "m") for t, i, p, k in rows], "id string, link_id string, parent_id string, author string, created_utc long, line_no long, month string")
+    s = spark.createDataFrame([(f"t{t}", "b", 0, t, "m") for t in range(30)], "id string, author string, created_utc long, line_no long, month string")
+    got = {(r["submission_id"], r["id"]): (r["parent"], r["depth"], r["walk_order"], r["thread_size"]) for r in tree.build(c, s).collect()}
+    assert got == _forest([r[:3] for r in rows])
+
+
+def test_nested_with_repeated_ids(spark):
+    """A submission listed twice and an id in two months: one line for each submission and month, each with its month's records."""
+    raw = lambda **x: json.dumps(x)
+    c = spark.createDataFrame([("c", "t3_s", "t3_s", "a", 1, 1, "m1", raw(id="c", body="one")), ("c", "t3_s", "t3_s", "a", 1, 1, "m2", raw(id="c", body="two"))], "id string, link_id string, parent_id string, author string, created_utc long, line_no long, month string, raw string")
+    s = spark.createDataFrame([("s", "b", 0, k, m, raw(id="s", title=t)) for k, m, t in ((0, "m1", "old"), (1, "m1", "new"), (0, "m2", "next"))], "id string, author string, created_utc long, line_no long, month string, raw string")
+    for scope, want in (("month", [("m1", "new", ["one"]), ("m2", "next", ["two"])]), ("all", [("m2", "next", ["two"])])):
+        lines = tree.nested(tree.build(c, s, scope), c, s, scope)
+        got = sorted((r["month"], json.loads(r["value"])["submission"]["title"], [x["comment"]["body"] for x in json.loads(r["value"])["comments"]]) for r in lines.collect())
+        assert got == want
+        assert sorted((r["id"], r["depth"]) for r in tree.flat(lines).collect()) == sorted([("s", -1), ("c", 0)] * len(want))
+
+
+def test_zst_blocks_and_writer(spark, tmp_path):
+    rows = [(f"line {k} " + "x" * (k % 50), ("comments", "submissions")[k % 2], f"2020-0{1 + k % 3}", k) for k in range(500)]
+    df = spark.createDataFrame(rows, "value string, kind string, month string, line_no long").repartition(5)
+    paths = zst.write_archives(df, tmp_path)
+    assert len(paths) == 6 == len(archives.discover_archives(tmp_path))
+    for a in archives.discover_archives(tmp_path):
+        want = [v for v, kind, m, _ in rows if (kind, m) == (a.file_type, a.month_str)]
+        assert [line for line, _ in zst.read_zst_lines(a.path)] == want
+        assert b"\n".join(zst.read_zst_blocks(a.path, size=17)).decode().split("\n") == want
+
+
 def test_graphs(records):
     c, s = records
     t = tree.build(c, s)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from threadlake import queries
+from threadlake import queries, queries_io  # noqa: F401  adds to the same queries
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import filled_author, known_author, number
@@ -58,8 +58,9 @@ def by_community(monthly: DataFrame, digits: int | None = 2) -> DataFrame:
 def across_communities(stats: DataFrame, min_subreddits: int = 2) -> DataFrame:
     """The rows of authors known in at least so many communities."""
     stats = stats.filter(known_author())
-    kept = stats.groupBy("author").agg(F.count_distinct("subreddit").alias("_n")).filter(F.col("_n") >= min_subreddits).select("author")
-    return stats.join(kept, "author", "left_semi")
+    # stats have a row for each author and community, far fewer than records: one shuffle by author, nothing computed twice
+    several = F.size(F.collect_set("subreddit").over(Window.partitionBy("author")))
+    return stats.withColumn("_n", several).filter(F.col("_n") >= min_subreddits).drop("_n")
 
 
 def across_summary(stats: DataFrame, min_subreddits: int = 2) -> DataFrame:

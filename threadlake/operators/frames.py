@@ -15,9 +15,8 @@ def comments_frame(tree: DataFrame, comments: DataFrame, submissions: DataFrame,
     none fired unless fill_signals."""
     drop = [c for c in ("month", "author", "created_utc", "line_no") if c in comments.columns]
     wide = comments.drop(*drop)
-    sizes = tree.groupBy("submission_id").agg(F.count(F.lit(1)).alias("thread_size"))
-    about = submissions.select(F.col("id").alias("submission_id"), F.col("title").alias("submission_title"), F.col("score").alias("submission_score"), F.col("author").alias("submission_author"), F.col("created_utc").alias("_s")).join(sizes, "submission_id")
-    out = tree.select("month", "submission_id", "id", "depth", "walk_order", "author", "created_utc").join(about, "submission_id").join(wide, "id")
+    about = submissions.select(F.col("id").alias("submission_id"), F.col("title").alias("submission_title"), F.col("score").alias("submission_score"), F.col("author").alias("submission_author"), F.col("created_utc").alias("_s"))
+    out = tree.select("month", "submission_id", "id", "depth", "walk_order", "author", "created_utc", "thread_size").join(about, "submission_id").join(wide, "id")
     out = out.withColumn("time_since_submission", F.col("created_utc") - F.col("_s")).drop("_s")
     return with_signals(out, signals, "comment", fill_signals)
 
@@ -43,10 +42,10 @@ def signal_rows(tree: DataFrame, comments: DataFrame, submissions: DataFrame) ->
     flag = lambda df: (F.col("stickied") if "stickied" in df.columns else F.lit(False)).cast("boolean").alias("stickied")
     op = submissions.select(F.col("id").alias("submission_id"), F.col("author").alias("submission_author"))
     c = comments.select("id", "body", "score", "parent_id", flag(comments), text("distinguished", comments), text("removed_by_category", comments))
-    c = tree.select("id", "submission_id", "depth", "author", "created_utc").join(c, "id").join(op, "submission_id")
+    c = tree.select("id", "submission_id", "depth", "walk_order", "author", "created_utc").join(c, "id").join(op, "submission_id")
     none = F.lit(None).cast("string")
-    c = c.select(F.col("id").alias("record_id"), F.lit("comment").alias("record_type"), "author", "body", none.alias("title"), none.alias("selftext"), "score", "parent_id", "depth", "stickied", "distinguished", "removed_by_category", "submission_id", "submission_author", "created_utc")
-    s = submissions.select(F.col("id").alias("record_id"), F.lit("submission").alias("record_type"), "author", none.alias("body"), text("title", submissions), text("selftext", submissions), "score", none.alias("parent_id"), F.lit(0).alias("depth"), flag(submissions), text("distinguished", submissions), text("removed_by_category", submissions), F.col("id").alias("submission_id"), F.col("author").alias("submission_author"), "created_utc")
+    c = c.select(F.col("id").alias("record_id"), F.lit("comment").alias("record_type"), "author", "body", none.alias("title"), none.alias("selftext"), "score", "parent_id", "depth", "stickied", "distinguished", "removed_by_category", "submission_id", "submission_author", "created_utc", "walk_order")
+    s = submissions.select(F.col("id").alias("record_id"), F.lit("submission").alias("record_type"), "author", none.alias("body"), text("title", submissions), text("selftext", submissions), "score", none.alias("parent_id"), F.lit(0).alias("depth"), flag(submissions), text("distinguished", submissions), text("removed_by_category", submissions), F.col("id").alias("submission_id"), F.col("author").alias("submission_author"), "created_utc", F.lit(-1).cast("bigint").alias("walk_order"))
     return c.unionByName(s)
 
 

@@ -205,10 +205,10 @@ def check(detectors: list[Detector]) -> None:
         raise ValueError(f"detectors are named as columns: {sorted(clash)}")
 
 
-def detect(rows: DataFrame, detectors: list[Detector]) -> DataFrame:
-    """record_id, record_type and a column for each detector, for the rows where any fires."""
+def detect(rows: DataFrame, detectors: list[Detector], keep: tuple[str, ...] = ()) -> DataFrame:
+    """record_id, record_type, the columns to keep, and a column for each detector, for the rows where any fires."""
     check(detectors)
-    out = rows.select("record_id", "record_type", *[d.column() for d in detectors])
+    out = rows.select("record_id", "record_type", *keep, *[d.column() for d in detectors])
     fired = F.lit(False)
     for d in detectors:
         fired = fired | F.col(f"`{d.name}`")

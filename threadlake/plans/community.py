@@ -64,13 +64,13 @@ class SubredditData:
         return tree.build(self.comments(month), self.submissions(month), self.link_scope)
 
     def _once(self, month: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(comments, submissions, tree), of records with one id the last."""
+        """(comments, submissions, tree), of records with one id the last; over all months an id counts once."""
         c, s = (filters.last_wins(df, "id", ("month", "line_no")) for df in (self.comments(month), self.submissions(month)))
         return c, s, tree.build(c, s, self.link_scope)
 
     def threads(self, month: str | None = None) -> DataFrame:
         """month, submission_id, value: a thread's nested JSON."""
-        return tree.nested(self.tree(month), self.comments(month), self.submissions(month))
+        return tree.nested(self.tree(month), self.comments(month), self.submissions(month), self.link_scope)
 
     def get_submission(self, submission_id: str) -> dict | None:
         rows = filters.first_by_id(self.submissions(), submission_id).collect()
@@ -136,7 +136,7 @@ class TreeBuilder:
         s = self.data.submissions(month)
         if c is None:
             c = files.schema.parse(s.limit(0).select(F.col("raw").alias("value"), "month", "line_no"), "comment")
-        rows = tree.nested(tree.build(c, s, self.data.link_scope), c, s)
+        rows = tree.nested(tree.build(c, s, self.data.link_scope), c, s, self.data.link_scope)
         return files.write_single(rows.select("value"), self.data.path / month / "threads.jsonl.gz", "text")
 
     def build_all_months(self) -> dict[str, int]:
@@ -148,6 +148,18 @@ def load_threads(path, spark: SparkSession | None = None) -> DataFrame:
     return (spark or session()).read.option("lineSep", "\n").text(str(path)).filter(F.trim("value") != "")
 
 
+def scan_threads(path, spark: SparkSession | None = None) -> DataFrame:
+    """The records of a file of nested threads as rows in walk order, as of tree.flat()."""
+    return tree.flat(load_threads(path, spark))
+
+
+def in_walk_order(found: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Signals (with submission_id and walk_order) in the order of submissions, each before its comments as the walk meets them."""
+    place = submissions.groupBy(F.col("id").alias("submission_id")).agg(F.max("line_no").alias("_line"))
+    rows = found.join(place, "submission_id", "left").orderBy("_line", "submission_id", "walk_order", "record_id")
+    return rows.drop("_line", "submission_id", "walk_order")
+
+
 class SignalDetector:
     """Runs detectors over an extracted community's threads and writes signals.csv for each month."""
 
@@ -155,14 +167,15 @@ class SignalDetector:
         signals.check(detectors)
         self.detectors, self.data = detectors, SubredditData(extracted_path, spark)
 
-    def detect(self, month: str | None = None) -> DataFrame:
+    def detect(self, month: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         c, s, t = self.data._once(month)
-        return signals.detect(frames.signal_rows(t, c, s), self.detectors)
+        return signals.detect(frames.signal_rows(t, c, s), self.detectors, keep)
 
     def run_month(self, month: str) -> int:
         if not (self.data.path / month / "submissions.jsonl.gz").exists():
             return 0
-        return files.write_single(self.detect(month), self.data.path / month / "signals.csv", order=[F.col("record_type").desc(), "record_id"])
+        found = in_walk_order(self.detect(month, ("submission_id", "walk_order")), self.data.submissions(month))
+        return files.write_single(found, self.data.path / month / "signals.csv")
 
     def run_all_months(self) -> dict[str, int]:
         return {m: self.run_month(m) for m in self.data.months}

@@ -1,7 +1,7 @@
 """The registered queries of the archive operators over the driver's tables, and their SQL.
 
-events make a forum: of every 20 ids the first is a submission, the others comments in a binary tree; comments with an id
-that leaves 5 modulo 37 are taken out, so some lose their parents. orders and lineitem make archives of many months;
+events make a forum: of every 20 ids the first is a submission, the others comments in a binary tree; comments whose parent's
+id leaves 5 modulo 37 name a parent that isn't there. orders and lineitem make archives of many months;
 conversations make chains; documents are submissions' texts, labels signals over them.
 """
 
@@ -44,8 +44,8 @@ def forum(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     month = F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM").alias("month")
     subs = e.filter("k = 0").select(F.col("event_id").cast("string").alias("id"), "author", "subreddit", "score", "created_utc", month, F.col("event_id").alias("line_no"), F.concat(F.lit("post "), "event_id").alias("title"), F.col("body").alias("selftext"))
-    parent = F.expr("CASE WHEN (k - 1) div 2 = 0 THEN concat('t3_', block * 20) ELSE concat('t1_', block * 20 + (k - 1) div 2) END")
-    coms = e.filter("k > 0 AND event_id % 37 <> 5").select(F.col("event_id").cast("string").alias("id"), F.expr("concat('t3_', block * 20)").alias("link_id"), parent.alias("parent_id"), "author", "subreddit", "score", "created_utc", month, F.col("event_id").alias("line_no"), "body")
+    parent = F.expr("CASE WHEN (k - 1) div 2 = 0 THEN concat('t3_', block * 20) WHEN (block * 20 + (k - 1) div 2) % 37 = 5 THEN concat('t1_gone', event_id) ELSE concat('t1_', block * 20 + (k - 1) div 2) END")
+    coms = e.filter("k > 0").select(F.col("event_id").cast("string").alias("id"), F.expr("concat('t3_', block * 20)").alias("link_id"), parent.alias("parent_id"), "author", "subreddit", "score", "created_utc", month, F.col("event_id").alias("line_no"), "body")
     return coms, subs
 
 
@@ -73,7 +73,7 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _FORUM = """
     f AS (SELECT event_id, event_id % 20 AS k, event_id // 20 AS block, 'u' || user_id AS author, event_type AS subreddit, coalesce(floor(value)::BIGINT, 0) AS score, floor(epoch(ts))::BIGINT AS created_utc, strftime(ts, '%Y-%m') AS month, props AS body FROM events),
     subs AS (SELECT *, event_id::VARCHAR AS id FROM f WHERE k = 0),
-    coms AS (SELECT *, event_id::VARCHAR AS id, block * 20 + (k - 1) // 2 AS up, (k - 1) // 2 = 0 AS topmost FROM f WHERE k > 0 AND event_id % 37 <> 5),
+    coms AS (SELECT *, event_id::VARCHAR AS id, CASE WHEN (k - 1) // 2 > 0 AND (block * 20 + (k - 1) // 2) % 37 = 5 THEN -1 ELSE block * 20 + (k - 1) // 2 END AS up, (k - 1) // 2 = 0 AS topmost FROM f WHERE k > 0),
     tree AS (
         SELECT c.event_id, c.block, c.id, NULL::VARCHAR AS parent, 0 AS depth, [c.created_utc, c.event_id] AS path, c.author, c.score, c.created_utc, c.month, c.body, c.topmost, s.author AS p_author, s.created_utc AS p_created
         FROM coms c JOIN subs s ON s.block = c.block WHERE c.topmost OR NOT EXISTS (SELECT 1 FROM coms p WHERE p.event_id = c.up)

@@ -47,6 +47,48 @@ def read_zst_lines(path, max_window_size: int = MAX_WINDOW) -> Iterator[tuple[st
                 yield line, f.tell()
 
 
+def read_zst_blocks(path, max_window_size: int = MAX_WINDOW, size: int = BATCH_BYTES) -> Iterator[bytes]:
+    """Whole lines in blocks of about size bytes."""
+    with open(path, "rb") as f:
+        stream = zstandard.ZstdDecompressor(max_window_size=max_window_size).stream_reader(f, read_across_frames=True)
+        rest: list[bytes] = []
+        while chunk := stream.read(size):
+            whole, feed, tail = chunk.rpartition(b"\n")
+            if not feed:
+                rest.append(chunk)
+                continue
+            yield b"".join([*rest, whole])
+            rest = [tail]
+        if any(rest):
+            yield b"".join(rest)
+
+
+def write_archives(lines: DataFrame, root, order: str = "line_no") -> list[Path]:
+    """Lines (value, kind of comments or submissions, month) as archives below root, one task a file, streamed; the files."""
+    root = str(root)
+    names = {"comments": "RC", "submissions": "RS"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, out, done = None, None, []
+        for b in batches:
+            for value, kind, month in zip(*(c.to_pylist() for c in b.columns)):
+                if (kind, month) != at:
+                    if out:
+                        out.close()
+                    at = (kind, month)
+                    path = Path(root, kind, f"{names[kind]}_{month}.zst")
+                    path.parent.mkdir(parents=True, exist_ok=True)
+                    out = zstandard.ZstdCompressor().stream_writer(open(path, "wb"), closefd=True)
+                    done.append(str(path))
+                out.write(value.encode() + b"\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["path"])
+
+    rows = lines.repartition("kind", "month").sortWithinPartitions("kind", "month", order).select("value", "kind", "month")
+    return sorted(Path(r["path"]) for r in rows.mapInArrow(run, "path string").collect())  # a row for each file
+
+
 def read_zst_records(path, filter_fn: Callable[[dict], bool] | None = None, progress_callback: Callable[[ReadProgress], None] | None = None, progress_interval: int = 10_000) -> Iterator[dict]:
     """Records that the filter keeps; lines that aren't JSON are counted and skipped."""
     with ZstReader(path, filter_fn) as reader:
@@ -112,22 +154,15 @@ class _Reader(DataSourceReader):
         return [_File(**f) for f in self.files]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        lines, first, size, n = [], 0, 0, 0
         schema = pa.schema([("value", pa.string()), ("line_no", pa.int64()), ("kind", pa.string()), ("month", pa.string()), ("path", pa.string())])
-
-        def batch() -> pa.RecordBatch:
+        first = 0
+        for block in read_zst_blocks(partition.path):
+            lines = [line for line in block.split(b"\n") if line.strip()]
             k = len(lines)
-            return pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(range(first, first + k), pa.int64()), *(pa.array([v] * k, pa.string()) for v in (partition.kind, partition.month, partition.path))], schema=schema)
-
-        for line, _ in read_zst_lines(partition.path):
-            lines.append(line)
-            size += len(line)
-            n += 1
-            if size >= BATCH_BYTES:
-                yield batch()
-                lines, first, size = [], n, 0
-        if lines:
-            yield batch()
+            if k:
+                names = (pa.repeat(pa.scalar(v, pa.string()), k) for v in (partition.kind, partition.month, partition.path))
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string()), pa.array(range(first, first + k), pa.int64()), *names], schema=schema)
+            first += k
 
 
 class ZstLines(DataSource):
