@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -56,6 +57,15 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS, size: str = "16m") -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: workers are kept, and what one task needed stays with them else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of consecutive rows, each of about size bytes or one row; whatever session settings made of it."""
     if b.nbytes <= size or b.num_rows < 2:
@@ -67,14 +77,17 @@ def pieces(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     yield from pieces(b.slice(half), size)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow with a function from batch to batch, each of about size bytes or one row."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = BATCH_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function from batch to batch, each of about size bytes or one row; done is called after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in pieces(b, size):
                 if (out := fn(part)) is not None:
                     yield out
+        if done:
+            done()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Buffer, arrow_rows, join_unique, map_batches, materialize, mix64, piece_hashes
+from .common import Buffer, arrow_rows, give_back, join_unique, map_batches, materialize, mix64, piece_hashes
 
 PERCENT = 60
 SKETCH = 1 << 22
@@ -143,6 +143,7 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if sketch is not None:
             parts = [_packed(sketch[i : i + SKETCH // 64]) for i in range(0, SKETCH, SKETCH // 64)]
             yield pa.RecordBatch.from_arrays([pa.nulls(64, id_type), pa.nulls(64, pa.int64()), pa.nulls(64, pa.binary()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        give_back()
 
     field = docs.schema[id_col].dataType
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field.simpleString()]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Buffer, arrow_rows, map_batches, materialize, mix64, piece_hashes, pieces
+from .common import Buffer, arrow_rows, give_back, map_batches, materialize, mix64, piece_hashes, pieces
 
 SENTENCES = 2
 WORDS = 16
@@ -255,6 +255,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, buckets: int, least: int
             del w, p, q, found, more
             for i in range(0, len(h), ROW):
                 yield rows(ids, *(x[i : i + ROW] for x in (h, g, of, s, e)))
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, "bucket int, data binary, id bigint, s bigint, e bigint, first bigint")
 
