@@ -242,6 +242,14 @@ def test_regex_as_python(spark, pattern, value):
     assert got == [bool(re.search(pattern, v, re.I)) for v in (value, "")]
 
 
+def test_public_names():
+    import threadlake
+
+    assert all(hasattr(threadlake, n) for n in threadlake.__all__) and threadlake.TreeBuilder is community.TreeBuilder
+    with pytest.raises(AttributeError):
+        threadlake.nothing  # noqa: B018
+
+
 def test_regex_errors():
     import re
 

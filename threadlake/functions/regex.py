@@ -8,6 +8,7 @@ written so (conditional groups, and names that Java forbids) runs in Arrow batch
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 def to_java(pattern: str) -> str | None:
     """The pattern for Java without flags, or None."""
-    re.compile(pattern)
+    with warnings.catch_warnings():  # a bracket inside a set is what it says
+        warnings.simplefilter("ignore", FutureWarning)
+        re.compile(pattern)
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
