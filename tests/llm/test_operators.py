@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlake.llm import bpe, decontaminate, exact_dedup, html_extract, ngram_join, pii, quality, secret_scan, substring_dedup, toxicity
-from threadlake.llm.queries import TOKENIZERS, WORD_BPE
+from threadlake.llm.queries import word_bpe
 
 DATA = Path("/root/testdata")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
@@ -37,7 +37,7 @@ def tables(spark):
 
 def test_empty_tables(spark, tables):
     none, labels, bench = docs(spark, []), tables["labels"].limit(0), tables["benchmark"].limit(0)
-    path = f"{TOKENIZERS}/{WORD_BPE}"
+    path = word_bpe()
     for df in (exact_dedup.classify(none), exact_dedup.exact_dedup(none), bpe.token_digests(none, path), decontaminate.scan_table(none, bench), secret_scan.scan_table(none), pii.scan_table(none), toxicity.score_table(none, labels), quality.score_table(none, labels), ngram_join.links(none), substring_dedup.removals(none), substring_dedup.dedup(none), html_extract.extract_table(tables["pages"].limit(0))):
         assert df.count() == 0
     one = docs(spark, ["a b"])
@@ -74,7 +74,7 @@ def test_exact_dedup_keeps_rows(spark):
 def test_bpe_as_library(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/{WORD_BPE}"
+    path = word_bpe()
     lib = Tokenizer.from_file(path)
     rng = random.Random(4)
     texts = [*ODD, *("".join(chr(rng.choice(rng.choice([range(32, 127), range(0x20, 0x250), range(0x300, 0x3000), range(0x10000, 0x10400)]))) for _ in range(rng.randint(0, 60))) for _ in range(300))]
@@ -82,12 +82,14 @@ def test_bpe_as_library(spark):
     want = sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, x in enumerate(ids))
     assert rows(bpe.token_digests(docs(spark, texts), path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
     out = bpe.decoded(bpe.with_tokens(docs(spark, texts), path), path)
+    once = bpe.with_tokens(docs(spark, texts), path, decoded_col="decoded")
+    assert rows(once, "doc_id", "ids", "n_tokens", "decoded") == rows(out, "doc_id", "ids", "n_tokens", "decoded")
     assert rows(out, "doc_id", "ids", "decoded") == sorted((i, x, lib.decode(x, skip_special_tokens=False)) for i, x in enumerate(ids))
 
 
 def test_bpe_cache_is_no_limit(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
-    data = Path(f"{TOKENIZERS}/{WORD_BPE}").read_bytes()
+    data = Path(word_bpe()).read_bytes()
     a = bpe.Vocabulary(data)
     text = "one two three four five one two three four five six"
     assert [a.encode(text) for _ in range(3)] == [bpe.Vocabulary(data).encode(text)] * 3

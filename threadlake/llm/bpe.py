@@ -26,6 +26,7 @@ from array import array
 from functools import cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -162,6 +163,11 @@ class Vocabulary:
         self.young[chunk] = found
         return found
 
+    def shrink(self) -> None:
+        """Leaves the younger generation only: workers are kept, and so is what they hold between tasks."""
+        self.old = {}
+        self.words.clear()
+
     def parts(self, text: str) -> list[tuple[bytes, str]]:
         """Of every chunk in turn, what entry() gives; no word spans white space."""
         if self.split_special and "<|" in text:
@@ -234,27 +240,37 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", done=lambda: _vocabulary(key, data).shrink())
 
 
-def with_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The rows with columns n_tokens and ids (array of int) added."""
+def with_tokens(docs: DataFrame, path: str, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """The rows with columns n_tokens and ids (array of int) added, and with a name for it the decoded text; they take the
+    place of columns with these names."""
     key, data = _sent(docs, path)
     arrow_rows(docs.sparkSession)
-    docs = docs.drop("n_tokens", "ids")
+    docs = docs.drop("n_tokens", "ids", *([decoded_col] if decoded_col else []))
     at = docs.columns.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         v = _vocabulary(key, data)
-        ids = [v.encode(t.as_py() or "") for t in b.column(at)]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "n_tokens", "ids"])
-
+        packed, sizes, texts = [], [0], []
+        for t in b.column(at):
+            parts = v.parts(t.as_py() or "")
+            packed.append(b"".join([p[0] for p in parts]))
+            sizes.append(sizes[-1] + len(packed[-1]) // 4)
+            if decoded_col:
+                texts.append(" ".join([p[1] for p in parts]))
+        ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+        more = [pa.array(texts, pa.string())] if decoded_col else []
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(sizes), pa.int64()), ids, *more], names=[*b.schema.names, *added])
+
+    added = ["n_tokens", "ids", *([decoded_col] if decoded_col else [])]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(docs, run, f"{schema}, n_tokens bigint, ids array<int>")
+    return map_batches(docs, run, f"{schema}, n_tokens bigint, ids array<int>" + (f", `{decoded_col}` string" if decoded_col else ""), done=lambda: _vocabulary(key, data).shrink())
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """The rows with the decoded text of their ids; null ids give the empty text."""
+    """The rows with the decoded text of their ids, in the place of a column with that name; null ids give the empty text."""
     key, data = _sent(rows, path)
     arrow_rows(rows.sparkSession)
     rows = rows.drop(to)

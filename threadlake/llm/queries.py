@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontaminate, exact_dedup, html_extract, ngram_join, pii, quality, secret_scan, substring_dedup, toxicity
 from .common import table
 
-#: The folder of public vocabulary files; never copied into this repository.
+#: The folder of public vocabulary files where their package isn't installed; never copied into this repository.
 TOKENIZERS = "/opt/tokenizers"
-WORD_BPE = "word_bpe_49k.json"
+
+
+def word_bpe() -> str:
+    """The path of the vocabulary file that the BPE query and stage use."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/word_bpe_49k.json"
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +31,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{WORD_BPE}")
+    return bpe.token_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
