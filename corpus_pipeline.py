@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadlake.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from threadlake.llm.common import materialize, table
-from threadlake.llm.queries import TOKENIZERS, WORD_BPE
+from threadlake.llm.queries import word_bpe
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/{WORD_BPE}"
-    return bpe.decoded(bpe.with_tokens(docs, path), path)
+    return bpe.with_tokens(docs, word_bpe(), decoded_col="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
