@@ -33,10 +33,11 @@ from .common import Buffer, arrow_rows, map_batches
 WINDOW = 8
 SAMPLE = 16
 BLOCK = 8 << 20
-#: Documents of a batch at most; its bytes are bounded by common.map_batches.
+#: Documents of a batch at most, and bytes, but for longer texts.
 SHARD_ROWS = 10_000
+BATCH = 4 << 20
 #: Words of a shard.
-SHARD = 1 << 21
+SHARD = 1 << 20
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -248,7 +249,7 @@ class Blocks:
 def scan_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_items: int = 2) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     blocks = Blocks(benchmark, item_col, item_text_col)
-    arrow_rows(docs.sparkSession, SHARD_ROWS)
+    arrow_rows(docs.sparkSession, SHARD_ROWS, "4m")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         first, hit, found = scan(b.column(1), blocks)
@@ -259,7 +260,7 @@ def scan_table(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return pa.RecordBatch.from_arrays(cols, names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", BATCH)
 
 
 def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -286,7 +287,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows without the contaminated ones, and with the removal spans cut out of the rest; length_col, if any, gets
     the new number of code points of texts that were cut."""
     blocks = Blocks(benchmark, item_col, item_text_col)
-    arrow_rows(docs.sparkSession, SHARD_ROWS)
+    arrow_rows(docs.sparkSession, SHARD_ROWS, "4m")
     names = docs.columns
     at = names.index(text_col)
 
@@ -308,4 +309,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             cols[at] = pa.array(texts, cols[at].type)
         return pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep))
 
-    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), BATCH)
