@@ -353,6 +353,12 @@ def _candidate_sets(docs: DataFrame, text_col: str, nodes: DataFrame, met: froze
     return map_batches(docs.select(text_col), run, "cid bigint, set binary").dropDuplicates(["cid"])
 
 
+def _freed(result: pa.Table) -> pa.Table:
+    """The result of a call, whose own memory goes back to the system."""
+    give_back()
+    return result
+
+
 class Trie:
     """A path-compressed trie of sorted sequences: for each node its label, children, sequences that end, least size and
     most items below."""
@@ -525,7 +531,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         classes = classes.withColumn("cid", named("sig"))
 
     schema = "a bigint, b bigint, c bigint, need bigint, hashes array<bigint>"
-    found = _postings(docs, text_col, sketch, buckets, met).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_pairs_in_bucket, schema)
+    found = _postings(docs, text_col, sketch, buckets, met).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _freed(_pairs_in_bucket(t)), schema)
     found = materialize(found, "ngram-candidates")
     pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
     pairs = materialize(pairs, "ngram-pairs")
@@ -564,7 +570,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     tasks = max(1, math.ceil(held / TASK))
     members = members.join(sets, "cid").withColumn("task", F.pmod("cell", F.lit(tasks)))
     other = celled.select(F.col("cell").alias("at"), F.col("a").alias("x"), F.col("b").alias("y"), F.pmod("cell", F.lit(tasks)).alias("job"))
-    done = members.groupBy("task").cogroup(other.groupBy("job")).applyInArrow(_verify(sketch), "cid bigint, links bigint, root bigint")
+    verify = _verify(sketch)
+    done = members.groupBy("task").cogroup(other.groupBy("job")).applyInArrow(lambda s, p: _freed(verify(s, p)), "cid bigint, links bigint, root bigint")
     done = materialize(done, "ngram-links")
 
     degree = done.groupBy("cid").agg(F.sum("links").alias("links"))
