@@ -692,6 +692,35 @@ def test_toxicity_steady_and_unseen(spark, monkeypatch):
     assert len(toxicity.fit(both, labels).blocks) > 1 and rows(toxicity.score_table(both, labels), "doc_id", "score") == plain
 
 
+def test_toxicity_controls_are_all_far_places(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["wurzak", "vibsor"] + ["ka", "kamiko", "mo", "nyrolo"] * k) for _ in range(n)) for k, n in ((2, 5), (3, 60), (20, 200), (20, 400))]
+    texts += ["ka mo", "", None, "ka vibsor kamiko mo nyrolo ka mo kamiko nyrolo mo ka", "wurzak " + "vibsor ka " * 30 + "kamiko ny ro la so re do ut " + "mo wurzak " * 30]  # few far places
+    seeds = ["wurz*", "vibsor"]
+    want = Counter()
+    for t in texts:
+        ws = (t or "").split()
+        of = [0 if w == "wurzak" else 1 if w == "vibsor" else -1 for w in ws]
+        around = lambda i: [j for j in range(max(0, i - toxicity.WINDOW), min(len(ws), i + toxicity.WINDOW + 1)) if j != i]
+        far = [i for i in range(len(ws)) if all(of[j] < 0 for j in (i, *around(i)))]
+        for i, k in enumerate(of):
+            if k >= 0:
+                for j in around(i):
+                    for term in toxicity.terms(ws[j]):
+                        want[term, k] += 1
+                for j in (j for p in far for j in around(p)):
+                    for term in toxicity.terms(ws[j]):
+                        want[term, min(x for x in of if x >= 0) + 2] += 1 / len(far)
+    total = Counter()
+    for (term, _), n in want.items():
+        total[term] += n
+    want = {k: n for k, n in want.items() if total[k[0]] >= toxicity.SUPPORT}
+    for pairs in (toxicity.PAIRS, 3):
+        monkeypatch.setattr(toxicity, "PAIRS", pairs)
+        got = {(r["term"], r["seed"]): r["n"] / toxicity.UNIT for r in toxicity.contexts(docs(spark, texts), "text", spark.sparkContext.broadcast(seeds)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want) and {k for _, k in got} == {0, 1, 2, 3}
+
+
 def test_toxicity_features():
     rng = np.random.default_rng(2)
     col = pa.array(["", None, "A bb'c", *(" ".join(rng.choice(["aaaa", "aaaabb", "cc", "Dddddd", "é", "zzzzzzzzzz"], rng.integers(0, 40))) for _ in range(30))])

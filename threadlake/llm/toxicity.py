@@ -6,10 +6,11 @@ form that no labelled document has still has terms.
 1. From at most TRAIN labelled documents: in how many toxic and other documents each term occurs. Toxic seeds are terms
    whose log odds ratio has a lower bound (SURE standard errors) of at least SEED: an effect size, so more labels don't let
    weaker terms in. A prefix that says as much as its word stands for it; the SEEDS strongest stay.
-2. Over all documents: how often any term stands within WINDOW words of a seed, and how often within WINDOW words of the
-   seed's control, a word drawn in the same document for each place of the seed and away from all seeds. Controls are the
-   seeds of the other side: what only tells of a language or subject meets both alike. Every term of the corpus with at
-   least SUPPORT such places is a node. An edge's weight is the positive pointwise mutual information of term and seed,
+2. Over all documents: how often any term stands within WINDOW words of a seed, and within WINDOW words of a control: all
+   words of the same document that are away from all seeds, which share the weight of the document's places of seeds equally
+   and count for the control of its strongest seed. Every window of a document with seeds counts, none is drawn. Controls
+   are the seeds of the other side: what only tells of a language or subject meets both alike. Every term of the corpus with at least SUPPORT such places is a
+   node. An edge's weight is the positive pointwise mutual information of term and seed,
    from the count less SURE standard errors, so that chance meetings are no edges.
 3. Two random walks with restart, from the seeds and from the controls, back and forth over the edges. As each edge has
    a seed at one end, two steps are one step between seeds: the executors sum that matrix, SEEDS * 2 squared at most, and
@@ -32,6 +33,7 @@ and kept by drop_toxic(); ties in strength are broken by the term.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Buffer, arrow_rows, map_batches, materialize, mix64
+from .common import Buffer, arrow_rows, give_back, map_batches, materialize, pieces
 from .labelled import held_out, logistic, probability, sample
 
 TRAIN = 20_000
@@ -52,8 +54,12 @@ SEEDS = 512
 SURE = 1.64
 WINDOW = 5
 SUPPORT = 3
-#: Draws for a control.
-TRIES = 4
+#: Counts near seeds and controls are in parts of a place, so that their sums are whole numbers in any order.
+UNIT = 1 << 20
+#: Pairs of a term and a seed or control held at once.
+PAIRS = 1_000_000
+#: Bits of the map of terms with support; more terms than fit only make it let others pass, which are dropped later.
+FILTER = 1 << 25
 RESTART = 0.3
 WALK = 30
 FOLDS = 3
@@ -165,48 +171,152 @@ def choose_seeds(bounds: DataFrame) -> tuple[list[str], np.ndarray]:
     return toxic, np.where(strength >= SEED, strength, 0.0)
 
 
-def controls(at: np.ndarray, begin: np.ndarray, doc: np.ndarray, is_seed: np.ndarray) -> np.ndarray:
-    """For each place at, another of the same document and farther than WINDOW words from all seeds, or -1 if TRIES draws
-    find none."""
-    total = np.append(0, np.cumsum(is_seed))
-    first, size = begin[doc[at]], np.diff(begin)[doc[at]]
-    out = np.full(len(at), -1, np.int64)
-    for k in range(TRIES):
-        drawn = first + (mix64((at - first).astype(np.uint64) * np.uint64(TRIES) + np.uint64(k)) % size.astype(np.uint64)).astype(np.int64)
-        lo, hi = np.maximum(drawn - WINDOW, first), np.minimum(drawn + WINDOW + 1, first + size)
-        out = np.where((out < 0) & (total[hi] == total[lo]), drawn, out)
-    return out
-
-
-def contexts(docs: DataFrame, text_col: str, seeds) -> DataFrame:
-    """Rows (term, seed, n): how often a term stands within WINDOW words of a seed, over all documents; seeds is a
-    broadcast list, strongest first. The control of seed k has the number k + len(seeds)."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        of = {w: k for k, w in enumerate(seeds.value)}
-        words, codes, begin = encode(b.column(0))
+def controls(codes: np.ndarray, begin: np.ndarray, doc: np.ndarray, is_seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document with seeds, the words near places farther than WINDOW words from all seeds, and the mean number of
+    times that they stand within WINDOW words of such a place: arrays (document, word, mean), in order of documents."""
+    n = np.diff(begin)
+    place = np.arange(len(codes))
+    lo, hi = np.maximum(place - WINDOW, begin[:-1][doc]), np.minimum(place + WINDOW + 1, begin[1:][doc])
+    seeds = np.append(0, np.cumsum(is_seed))
+    far = (seeds[hi] == seeds[lo]) & np.repeat(seeds[begin[1:]] > seeds[begin[:-1]], n)
+    places = np.append(0, np.cumsum(far))
+    met = places[hi] - places[lo] - far
+    some = np.flatnonzero(met)
+    wide = max(1, int(codes.max(initial=0)) + 1)
+    key, of = np.unique(doc[some] * wide + codes[some], return_inverse=True)
+    of_doc = key // wide
+    return of_doc, key % wide, np.bincount(of, met[some], len(key)) / (places[begin[1:]] - places[begin[:-1]])[of_doc]
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of n of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def _spread(n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each i, the n[i] numbers from first[i] on."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class Windows:
+    """What stands near the seeds and their controls in a batch of texts: near (word, seed, n); far (document, word, mean), as
+    controls() has it; and of each document its number of places of seeds and its strongest seed, or -1."""
+
+    def __init__(self, col: pa.Array, of: dict[str, int]):
+        self.words, codes, begin = encode(col)
         find = term_finder(of)
-        seed = np.fromiter((min((of[t] for t in find(w) if t in of), default=-1) for w in words), np.int64, len(words))
+        seed = np.fromiter((min((of[t] for t in find(w) if t in of), default=-1) for w in self.words), np.int64, len(self.words))
         doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         is_seed = seed[codes] >= 0
         at = np.flatnonzero(is_seed)
-        if not len(at):
-            return None
         which = seed[codes[at]]
-        drawn = controls(at, begin, doc, is_seed)
-        at, which = np.append(at, drawn[drawn >= 0]), np.append(which, which[drawn >= 0] + len(of))
         keys = []
         for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
             ok = (at + step >= 0) & (at + step < len(codes))
             ok[ok] = doc[at[ok] + step] == doc[at[ok]]
-            keys.append(codes[at[ok] + step].astype(np.int64) * 2 * len(of) + which[ok])
+            keys.append(codes[at[ok] + step].astype(np.int64) * len(of) + which[ok])
         key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(key // (2 * len(of)))), pa.array((key % (2 * len(of))).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "seed", "n"])
+        self.near = key // len(of), key % len(of), n.astype(np.int64) * UNIT
+        self.places = np.bincount(doc[at], minlength=len(begin) - 1)
+        self.control = np.full(len(begin) - 1, len(of))
+        np.minimum.at(self.control, doc[at], which)
+        self.control[self.places == 0] = -1
+        self.far = controls(codes, begin, doc, is_seed)
+
+
+def support(docs: DataFrame, text_col: str, seeds) -> DataFrame:
+    """The terms with at least SUPPORT places near seeds and controls."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = Windows(b.column(0), {t: k for k, t in enumerate(seeds.value)})
+        if not w.places.any():
+            return None
+        of_doc, word, mean = w.far
+        word, n = _summed(np.append(w.near[0], word), np.append(w.near[2], np.rint(w.places[of_doc] * mean * UNIT).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(w.words, pa.string()).take(pa.array(word)), pa.array(n)], names=["word", "n"])
 
-    near = map_batches(docs.select(text_col), run, "word string, seed int, n bigint", BATCH).groupBy("word", "seed").agg(F.sum("n").alias("n"))
+    total = map_batches(docs.select(text_col), run, "word string, n bigint", BATCH).groupBy("word").agg(F.sum("n").alias("n"))
     prefixes = [F.when(F.length("word") >= k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in PREFIXES]
-    every = near.select(F.explode(F.array_compact(F.array("word", *prefixes))).alias("term"), "seed", "n")
-    return every.groupBy("term", "seed").agg(F.sum("n").alias("n"))
+    every = total.select(F.explode(F.array_compact(F.array("word", *prefixes))).alias("term"), "n")
+    return every.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT * UNIT).select("term")
+
+
+def _bits(names: DataFrame) -> np.ndarray:
+    """A bit map of fixed size with the bits of all terms."""
+    slot = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER)) + 1
+    bits = names.select(F.bitmap_bucket_number(slot).alias("k"), F.bitmap_bit_position(slot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in bits.toLocalIterator():  # at most FILTER / 32768 rows
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
+def contexts(docs: DataFrame, text_col: str, seeds) -> DataFrame:
+    """Rows (term, seed, n): how often each term of support() stands within WINDOW words of a seed, in parts of 1 / UNIT, over
+    all documents; seeds is a broadcast list, strongest first. The control of documents with seed k as the strongest has the number k + len(seeds)."""
+    names = materialize(support(docs, text_col, seeds), "toxicity-support")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, filled = {w: k for k, w in enumerate(seeds.value)}, bits.value
+        wide = 2 * len(of)
+        known: dict[str, int] = {}
+        keys, ns, held = [], [], 0
+
+        def add(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+            """Adds to what is held, and empties it where too many are."""
+            nonlocal keys, ns, held
+            key, n = _summed(key, n)
+            keys.append(key)
+            ns.append(n)
+            held += len(key)
+            if held > PAIRS:
+                key, n = _summed(np.concatenate(keys), np.concatenate(ns))
+                keys, ns, held = [key], [n], len(key)
+                if held > PAIRS // 2:
+                    return empty()
+            return None
+
+        def empty() -> pa.RecordBatch:
+            nonlocal keys, ns, held
+            key, n = _summed(np.concatenate(keys), np.concatenate(ns))
+            keys, ns, held = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()).take(pa.array(key // wide)), pa.array((key % wide).astype(np.int32)), pa.array(n)], names=["term", "seed", "n"])
+
+        for part in (p for b in batches for p in pieces(b, BATCH)):
+            if held and len(known) > PAIRS:
+                yield empty()
+            if not held:
+                known = {}
+            w = Windows(part.column(0), of)
+            if not w.places.any():
+                continue
+            # the terms of each word that may be in names
+            lists: list[list[int]] = [[]] * len(w.words)
+            for k in np.unique(np.append(w.near[0], w.far[1])).tolist():
+                lists[k] = [known.setdefault(t, len(known)) for t in terms(w.words[k]) if filled[(at := zlib.crc32(t.encode()) % FILTER) >> 3] >> (at & 7) & 1]
+            size = np.array([len(x) for x in lists], np.int64)
+            flat, start = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum())), np.cumsum(size) - size
+            word, seed, n = w.near
+            k = size[word]
+            if (out := add(flat[_spread(k, start[word])] * wide + np.repeat(seed, k), np.repeat(n, k))) is not None:
+                yield out
+            of_doc, word, mean = w.far
+            k = size[word]
+            key, at = np.unique(np.repeat(of_doc, k) * max(1, len(known)) + flat[_spread(k, start[word])], return_inverse=True)
+            mean = np.bincount(at, np.repeat(mean, k), len(key))
+            of_doc, term = key // max(1, len(known)), key % max(1, len(known))
+            if (out := add(term * wide + len(of) + w.control[of_doc], np.rint(w.places[of_doc] * mean * UNIT).astype(np.int64))) is not None:
+                yield out
+        if held:
+            yield empty()
+        give_back()
+
+    near = docs.select(text_col).mapInArrow(run, "term string, seed int, n bigint").groupBy("term", "seed").agg(F.sum("n").alias("n"))
+    return near.join(names, "term", "left_semi")
 
 
 class Graph:
@@ -219,7 +329,7 @@ class Graph:
         """The weights of a batch's terms (rows) and the seeds (columns)."""
         seed, n = (b.column(b.schema.names.index(k)) for k in ("seeds", "ns"))
         row = np.repeat(np.arange(b.num_rows), np.diff(seed.offsets.to_numpy()))
-        s, c = seed.flatten().to_numpy(), n.flatten().to_numpy().astype(float)
+        s, c = seed.flatten().to_numpy(), n.flatten().to_numpy() / UNIT
         of_term = np.bincount(row, c, b.num_rows)
         sure = np.maximum(c - SURE * np.sqrt(c), 0)
         with np.errstate(divide="ignore"):
@@ -271,18 +381,19 @@ def induce(docs: DataFrame, rows: DataFrame, text_col: str) -> list[dict[str, li
         return [{}]
     m, n = len(toxic), 2 * len(toxic)
     near = contexts(docs, text_col, spark.sparkContext.broadcast(toxic))
-    nodes = near.groupBy("term").agg(F.collect_list(F.struct("seed", "n")).alias("e"), F.sum("n").alias("total")).filter(F.col("total") >= SUPPORT)
+    nodes = near.groupBy("term").agg(F.collect_list(F.struct("seed", "n")).alias("e"))
     nodes = materialize(nodes.select("term", F.col("e.seed").alias("seeds"), F.col("e.n").alias("ns")), "toxicity-nodes")
     of_seed = np.zeros(n)
     for r in nodes.select(F.explode(F.arrays_zip("seeds", "ns")).alias("e")).groupBy("e.seeds").agg(F.sum("e.ns").alias("n")).collect():
-        of_seed[r["seeds"]] = r["n"]
+        of_seed[r["seeds"]] = r["n"] / UNIT
+    met = of_seed > 0  # a seed that is never a document's strongest has no control
     of_seed = np.maximum(of_seed, 1)
     graph = Graph(of_seed)
     step = _two_steps(nodes, graph)
     degree = np.maximum(step.sum(1), 1e-300)
     start = np.zeros((FOLDS + 2, n))
     start[: FOLDS + 1, :m] = strength.T
-    start[FOLDS + 1, m:] = strength.max(1)
+    start[FOLDS + 1, m:] = strength.max(1) * met[m:]
     at = walk(step, start)
     own = {w: strength[k].tolist() for k, w in enumerate(toxic)}
 
@@ -291,10 +402,10 @@ def induce(docs: DataFrame, rows: DataFrame, text_col: str) -> list[dict[str, li
         seeds_mass, toxic_mass, other_mass = w[:, :m] @ at[:-1, :m].T, w @ at[:-1].T, (w @ at[-1])[:, None]
         polarity = np.maximum(toxic_mass - other_mass, 0) / np.maximum(toxic_mass + other_mass, 1e-300)
         mean = (w[:, :m] @ (at[:-1, :m] * strength.T).T) / np.maximum(seeds_mass, 1e-300)
-        seed, c = b.column(1), b.column(2).flatten().to_numpy()
+        seed, c = b.column(1), b.column(2).flatten().to_numpy() / UNIT
         row = np.repeat(np.arange(b.num_rows), np.diff(seed.offsets.to_numpy()))
-        met = np.bincount(row, c * (seed.flatten().to_numpy() < m), b.num_rows)
-        weight = polarity * mean * (met / (met + SURE**2))[:, None]
+        n_met = np.bincount(row, c * (seed.flatten().to_numpy() < m), b.num_rows)
+        weight = polarity * mean * (n_met / (n_met + SURE**2))[:, None]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(weight.tolist(), pa.list_(pa.float64()))], names=["term", "weight"])
 
     found = map_batches(nodes, weigh, "term string, weight array<double>", 4 << 20).filter(F.array_max("weight") >= LIGHT)
