@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -769,6 +770,29 @@ def test_blocked_cosine_is_exact():
     assert np.allclose(space.scores(texts), want, atol=0.02)
 
 
+def test_ngram_bucket_is_expanded_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def blob(first, k, m):
+        low, high = rng.integers(0, 20_000_000, m).astype("<u4") << 3, np.zeros(m, np.uint8)
+        n = np.bincount(rng.integers(0, k, m), minlength=k).astype("<u4")
+        return b"".join([np.array([k, m], "<u4").tobytes(), np.arange(first, first + k).astype("<i8").tobytes(), np.full(k, 81, "<u4").tobytes(), n.tobytes(), rng.integers(0, 1 << 32, (k, ngram_join.SKETCHES)).astype("<u4").tobytes(), low.tobytes(), high.tobytes()])
+
+    data = pa.table({"data": pa.array([blob(i * 200, 200, 50_000) for i in range(20)] + [blob(0, 200, 50_000)], pa.binary())})
+    found = []
+    for part in (2_000_000, 50_000):
+        monkeypatch.setattr(ngram_join, "PART", part, raising=False)
+        tracemalloc.start()
+        got = ngram_join._pairs_in_bucket(data)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        got = got.to_pandas()
+        assert got["b"].isna().sum() == 4_000
+        found.append(got[got["b"].notna()].groupby(["a", "b"]).agg({"c": "sum", "need": "max"}))
+    assert found[0].equals(found[1]) and len(found[0]) > 10_000
+    assert peak < 10 * 1_050_000  # bytes for each shingle of the bucket
+
+
 # ---- pipeline
 
 

@@ -51,6 +51,8 @@ CELL = 1000
 FILTER = 1 << 23
 #: Prefix shingles in a bucket, about.
 BUCKET = 5_000_000
+#: Prefix shingles of a bucket expanded at once; a bucket's bytes stay packed but for these.
+PART = 500_000
 #: Keys of a prefix, each of two least hashes.
 SKETCHES = 4
 #: Shingles of a part of a group of candidates, and of a verification task, about.
@@ -255,30 +257,25 @@ def _split(token, count, doc, side, hot, cids):
     return np.concatenate(tokens), np.concatenate(docs), np.concatenate(sides)
 
 
-def _pairs_in_bucket(group: pa.Table) -> pa.Table:
-    """Rows (a, hashes) of the classes at home in the bucket, and pairs of classes (a < b) without a common key, with
-    how many prefix shingles of the bucket they share and how many they need in all."""
-    which, value, every, sizes_of, home, least, base = [], [], [], [], [], [], 0
-    for blob in group.column("data"):
-        raw = blob.as_buffer()
-        k, m = np.frombuffer(raw, "<u4", 2).tolist()
-        wide = np.frombuffer(raw, "<u4", k, 8 + 8 * k)
-        every.append(np.frombuffer(raw, "<i8", k, 8))
-        sizes_of.append(wide // 2)
-        home.append(wide % 2 == 1)
-        which.append(np.repeat(np.arange(base, base + k, dtype=np.uint32), np.frombuffer(raw, "<u4", k, 8 + 12 * k)))
-        least.append(np.frombuffer(raw, "<u4", k * SKETCHES, 8 + 16 * k).reshape(k, SKETCHES))
-        at = 8 + (16 + 4 * SKETCHES) * k
-        value.append(np.frombuffer(raw, "<u4", m, at).astype(np.uint64) | np.frombuffer(raw, np.uint8, m, at + 4 * m).astype(np.uint64) << np.uint64(32))
-        base += k
-    raw_ids, raw_sizes = np.concatenate(every), np.concatenate(sizes_of).astype(np.int64)
-    every, where = np.unique(raw_ids, return_index=True)
-    home, least = np.concatenate(home)[where], np.concatenate(least)[where]
-    once = np.zeros(len(raw_ids), bool)  # all batches send the same of a class
-    once[where] = True
+def _merge(found: list[tuple[np.ndarray, np.ndarray]], out_key: list[np.ndarray], out_c: list[np.ndarray]) -> None:
+    """Appends the distinct keys found and the sums of their counts."""
+    if found:
+        key, of = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        out_key.append(key)
+        out_c.append(np.bincount(of, np.concatenate([c for _, c in found]), len(key)).astype(np.int64))
+
+
+def _pairs_in_part(blobs, part: int, parts: int, once: np.ndarray, number: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes (a * classes + b, a < b) and how often they meet in those shingles of a bucket that are of the part."""
+    which, value = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
+    for base, n, low, high in blobs:
+        own = np.flatnonzero((low >> np.uint32(3)) % np.uint32(parts) == part)
+        of = np.repeat(np.arange(base, base + len(n), dtype=np.uint32), n)[own]
+        own, of = own[once[of]], of[once[of]]
+        which.append(of)
+        value.append(low[own].astype(np.uint64) | high[own].astype(np.uint64) << np.uint64(32))
     which, v = np.concatenate(which), np.concatenate(value)
     del value
-    which, v = which[once[which]], v[once[which]]
     order = np.argsort(v >> np.uint64(3))
     v = v[order]
     token = v >> np.uint64(3)
@@ -286,11 +283,9 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
     same[1:] = token[1:] == token[:-1]
     twice = same.copy()
     twice[:-1] |= same[1:]
-    v, token, order = v[twice], token[twice], order[twice]
-    which = which[order]
-    cid, size = raw_ids[which], raw_sizes[which]
-    ids, local = np.unique(cid, return_inverse=True)
-    hashes = least[np.searchsorted(every, ids)]
+    v, token = v[twice], token[twice]
+    local = number[which[order[twice]]]
+    size = sizes[local]
     side, far = (v & np.uint64(3)).astype(np.int8), (v & np.uint64(4)) > 0
     run = np.cumsum(np.append(0, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     order = np.lexsort((local, size, run))
@@ -299,9 +294,6 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
     last = np.searchsorted(run * wide + size, run * wide + np.minimum(size * 100 // PERCENT, wide - 1), side="right")
     n = np.where(far, 0, np.maximum(last - np.arange(len(run)) - 1, 0))  # the smaller set's shingle must be near
     total = np.cumsum(n)
-    out_a, out_b, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    sizes = np.zeros(len(ids), np.int64)
-    sizes[local] = size
     i = 0
     while i < len(run):
         stop = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CHUNK, side="right")))
@@ -314,20 +306,50 @@ def _pairs_in_bucket(group: pa.Table) -> pa.Table:
         for j in range(SKETCHES):
             apart &= hashes[p, j] != hashes[q, j]
         p, q = p[apart], q[apart]
-        key, c = np.unique(np.minimum(p, q) * len(ids) + np.maximum(p, q), return_counts=True)
-        out_a.append(key // max(1, len(ids)))
-        out_b.append(key % max(1, len(ids)))
-        out_c.append(c)
+        yield np.unique(np.minimum(p, q) * len(sizes) + np.maximum(p, q), return_counts=True)
         i = stop
-    a, b, c = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
+
+
+def _pairs_in_bucket(group: pa.Table) -> pa.Table:
+    """Rows (a, hashes) of the classes at home in the bucket, and pairs of classes (a < b) without a common key, with
+    how many prefix shingles of the bucket they share and how many they need in all."""
+    blobs, every, sizes_of, home, least, base = [], [], [], [], [], 0
+    for blob in group.column("data"):
+        raw = blob.as_buffer()
+        k, m = np.frombuffer(raw, "<u4", 2).tolist()
+        wide = np.frombuffer(raw, "<u4", k, 8 + 8 * k)
+        every.append(np.frombuffer(raw, "<i8", k, 8))
+        sizes_of.append(wide // 2)
+        home.append(wide % 2 == 1)
+        least.append(np.frombuffer(raw, "<u4", k * SKETCHES, 8 + 16 * k).reshape(k, SKETCHES))
+        at = 8 + (16 + 4 * SKETCHES) * k
+        blobs.append((base, np.frombuffer(raw, "<u4", k, 8 + 12 * k), np.frombuffer(raw, "<u4", m, at), np.frombuffer(raw, np.uint8, m, at + 4 * m)))
+        base += k
+    raw_ids, raw_sizes = np.concatenate(every), np.concatenate(sizes_of).astype(np.int64)
+    every, where, number = np.unique(raw_ids, return_index=True, return_inverse=True)
+    home, hashes, sizes = np.concatenate(home)[where], np.concatenate(least)[where], raw_sizes[where]
+    once = np.zeros(len(raw_ids), bool)  # all batches send the same of a class
+    once[where] = True
+    parts = max(1, -(-sum(len(low) for _, _, low, _ in blobs) // PART))
+    found, held, out_key, out_c = [], 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in range(parts):
+        for key, c in _pairs_in_part(blobs, part, parts, once, number, sizes, hashes):
+            found.append((key, c))
+            held += len(key)
+            if held > CHUNK:
+                _merge(found, out_key, out_c)
+                found, held = [], 0
+    _merge(found, out_key, out_c)
+    key, c = np.concatenate(out_key), np.concatenate(out_c)
+    a, b = key // max(1, len(every)), key % max(1, len(every))
     need = np.minimum(SHARED, needed(np.minimum(sizes[a], sizes[b])))
     at_home = np.flatnonzero(home)
     m = len(at_home)
     none = pa.nulls(m, pa.int64())
     cols = [
-        pa.concat_arrays([pa.array(every[at_home], pa.int64()), pa.array(ids[a], pa.int64())]),
-        *(pa.concat_arrays([none, pa.array(v, pa.int64())]) for v in (ids[b], c, need)),
-        pa.concat_arrays([pa.array(least[at_home].tolist(), pa.list_(pa.int64())), pa.nulls(len(a), pa.list_(pa.int64()))]),
+        pa.concat_arrays([pa.array(every[at_home], pa.int64()), pa.array(every[a], pa.int64())]),
+        *(pa.concat_arrays([none, pa.array(v, pa.int64())]) for v in (every[b], c, need)),
+        pa.concat_arrays([pa.array(hashes[at_home].tolist(), pa.list_(pa.int64())), pa.nulls(len(a), pa.list_(pa.int64()))]),
     ]
     return pa.Table.from_arrays(cols, names=["a", "b", "c", "need", "hashes"])
 
