@@ -363,3 +363,34 @@ def test_ingest(spark, tmp_path):
         rows = spark.read.parquet(str(tmp_path / "out"))
         assert rows.count() == sum(len(COMMENTS[j::2]) for j in range(k + 1))
     assert activity_by_window(rows).agg(F.sum("n")).head()[0] == len(COMMENTS)
+
+
+def test_zst_split_by_frames(tmp_path):
+    data = "".join(f'{{"id":"é{k}"}}\n' + "\n" * (k % 7 == 0) for k in range(500)).encode()
+    cuts = [0, 1, 40, 41, 42, 3000, 3001, len(data) - 1, len(data)]
+    small = [zstandard.ZstdCompressor(write_checksum=k % 2 == 0).compress(data[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    skipped = b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc"
+    path = tmp_path / "many.zst"
+    path.write_bytes(small[0] + skipped + b"".join(small[1:]))
+    assert len(zst.frames(path)) == len(small)
+    want = [line for line, _ in zst.read_zst_lines(path)]
+    for least in (1, 100, 1 << 20):
+        parts = zst.splits(path, least)
+        got = [x.decode() for a, b in parts for block in zst.read_zst_blocks(path, size=23, start=a, end=b) for x in block.split(b"\n") if x.strip()]
+        assert got == want and (len(parts) == len(small) if least == 1 else len(parts) < len(small))
+    path.write_bytes(b"".join(small)[:-1])
+    assert zst.frames(path) == [0]
+
+
+def test_archives_are_written_in_parts_and_counted_in_tasks(spark, tmp_path):
+    rows = [(f'{{"id":"{k}"}}' if k % 5 else "{bad", kind, "2020-01", k) for k in range(400) for kind in ("comments", "submissions")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        paths = zst.write_archives(spark.createDataFrame(rows, "value string, kind string, month string, line_no long").repartition(3), tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["comments", "submissions"] and sum(len(zst.frames(p)) for p in paths) > 2
+    for p in paths:
+        assert [line for line, _ in zst.read_zst_lines(p)] == [v for v, kind, _, _ in rows if kind == p.parent.name]
+    found = archives.discover_archives(tmp_path)
+    assert sorted(zst.count_archives(spark, found, lambda r: r["id"] == "7")) == [(k, "2020-01", 320, 80, 1) for k in ("comments", "submissions")]

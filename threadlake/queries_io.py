@@ -124,14 +124,7 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_W} SELECT kind, month, (count(*) + 2 * count(*) FILTER (line % 50 = 20))::BIGINT AS records, (count(*) FILTER (line % 50 = 20))::BIGINT AS errors, (count(*))::BIGINT AS with_id FROM {_BAD} GROUP BY ALL")
 def archive_reader_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = []
-    for a in _found(spark, sf_dir):
-        with zst.ZstReader(a.path) as reader:
-            n = sum(1 for _ in reader)
-        total, kept = zst.count_records(a.path, lambda r: isinstance(r, dict) and "id" in r)
-        if total != n or reader.progress.percent != 100.0:
-            raise ValueError(f"the reader and the count of {a.path} differ")
-        out.append((a.file_type, a.month_str, n, reader.errors, kept))
+    out = zst.count_archives(spark, _found(spark, sf_dir), lambda r: isinstance(r, dict) and "id" in r)
     return spark.createDataFrame(out, "kind string, month string, records long, errors long, with_id long")
 
 
