@@ -13,7 +13,7 @@ from threadlake import cli, schema
 from threadlake.functions import regex, text
 from threadlake.operators import frames, graph, signals, tree
 from threadlake.plans import archive_wide, community, extract
-from threadlake.sources import archives, files, zst
+from threadlake.sources import archives, files, parts, zst
 
 
 def _c(i, parent="t3_s1", at=10, **more):
@@ -394,3 +394,33 @@ def test_archives_are_written_in_parts_and_counted_in_tasks(spark, tmp_path):
         assert [line for line, _ in zst.read_zst_lines(p)] == [v for v, kind, _, _ in rows if kind == p.parent.name]
     found = archives.discover_archives(tmp_path)
     assert sorted(zst.count_archives(spark, found, lambda r: r["id"] == "7")) == [(k, "2020-01", 320, 80, 1) for k in ("comments", "submissions")]
+
+
+def test_files_in_parts(spark, tmp_path):
+    texts = ["plain", 'a "quote"', "two\nlines", '"', '""\n"', "comma, here", None, "é", "in  side", "x\\", "\\\"y"]
+    rows = [(k, f"g{k % 2}", texts[k % len(texts)], json.dumps({"id": k}), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "line_no long, g string, t string, raw string, n long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert files.write_single(df.select("line_no", "t"), tmp_path / "one.csv", order=["line_no"]) == 600
+        assert files.write_single(df.orderBy("line_no").select("raw"), tmp_path / "one.gz", "text") == 600
+        made = [files.write_grouped(df, tmp_path, name, {"g": "g"}, kind, ["line_no"]) for name, kind in (("a.jsonl.gz", "jsonl"), ("a.csv", "csv"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [[str(p.relative_to(tmp_path)) for p in m] for m in made] == [[f"g{k}/{n}" for k in (0, 1)] for n in ("a.jsonl.gz", "a.csv")]
+    for path, own in ((tmp_path / "one.gz", rows), (made[0][0], rows[::2]), (made[0][1], rows[1::2])):
+        assert gzip.open(path, "rt").read() == "".join(r[3] + "\n" for r in own)
+        assert len(parts.members(path)) > 1
+        got = parts.read_lines(spark, path, 1)
+        assert got.rdd.getNumPartitions() > 1 and [r["value"] for r in got.collect()] == [r[3] for r in own]
+        assert [r["value"] for r in spark.read.text(str(path)).collect()] == [r[3] for r in own]  # others read all members, too
+    for path, own in ((tmp_path / "one.csv", rows), (made[1][0], rows[::2]), (made[1][1], rows[1::2])):
+        got = parts.read_csv(spark, path, 200)
+        assert got.rdd.getNumPartitions() > 2 and [r["t"] for r in got.collect()] == [r[2] for r in own]
+        assert got.collect() == parts.read_csv(spark, path).collect() and parts.read_csv(spark, path).rdd.getNumPartitions() == 1
+    (tmp_path / "one.gz").write_bytes((tmp_path / "one.gz").read_bytes() + gzip.compress(b"more\n"))
+    assert parts.members(tmp_path / "one.gz") == [0] and parts.read_lines(spark, tmp_path / "one.gz", 1).count() == 601
+    (tmp_path / "cr.csv").write_bytes(b"a,b\r\n" + b"1,2\r\n" * 500)
+    assert parts.read_csv(spark, tmp_path / "cr.csv", 200).count() == 500
+    (tmp_path / "gaps.csv").write_bytes(b'a,b\n' + b'1,""\n\n2\n,\n3,4,5\n' * 100)
+    assert parts.read_csv(spark, tmp_path / "gaps.csv", 200).collect() == parts.read_csv(spark, tmp_path / "gaps.csv").collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, frames, graph, signals, tree
 from ..session import session
-from ..sources import files
+from ..sources import files, parts
 
 
 @dataclass
@@ -145,7 +145,7 @@ class TreeBuilder:
 
 def load_threads(path, spark: SparkSession | None = None) -> DataFrame:
     """The nested threads of a file, a JSON text each in column value."""
-    return (spark or session()).read.option("lineSep", "\n").text(str(path)).filter(F.trim("value") != "")
+    return parts.read_lines(spark or session(), path).filter(F.trim("value") != "")
 
 
 def scan_threads(path, spark: SparkSession | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Readers and writers of the extracted layout <root>/<community>/<YYYY-MM>/<files>, and of single files.
 
-The exact file names are a contract, so a table is written by Spark in partitions and its part files are then moved to their
-names; one task writes one file, so files are sorted by line within. Paths are on a file system that driver and executors
-share.
+The exact file names are a contract, so a table is written by Spark in partitions and its part files are then put together under
+their names. Rows are sorted in ranges, so many tasks write one file, in order, and a large file is read by many tasks (see
+parts). Paths are on a file system that driver and executors share.
 """
 
 from __future__ import annotations
@@ -19,11 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import parts
 
 _MONTH = re.compile(r"[0-9]{4}-[0-9]{2}")
+#: Rows of a part file at most, which becomes a member of a gzip file.
+PART_ROWS = 100_000
+_PART = re.compile(r"part-(\d+)-.*?c(\d+)\.")
 _CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": ""}
 
 
+def _in_order(path: Path) -> tuple[int, int]:
+    """By a part file's task and its place among the task's files."""
+    m = _PART.match(path.name)
+    return int(m[1]), int(m[2])
+
+
 def month_folders(root) -> list[str]:
     return sorted(p.name for p in Path(root).iterdir() if p.is_dir() and _MONTH.fullmatch(p.name))
 
@@ -49,11 +59,11 @@ def read_month(spark: SparkSession, root, month: str, kind: str) -> DataFrame |
     folder = Path(root, month)
     lines = folder / f"{kind}s.jsonl.gz"
     if lines.exists():
-        rows = spark.read.option("lineSep", "\n").text(str(lines)).filter(F.trim("value") != "")
+        rows = parts.read_lines(spark, lines).filter(F.trim("value") != "")
         return schema.parse(rows.select("value", F.lit(month).alias("month"), F.monotonically_increasing_id().alias("line_no")), kind)
     table = folder / f"{kind}s.csv"
     if table.exists() and table.stat().st_size:
-        cells = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(str(table))
+        cells = read_csv(spark, table)
         value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cells.columns]))
         return schema.parse(cells.select(value.alias("value"), F.lit(month).alias("month"), F.monotonically_increasing_id().alias("line_no")), kind)
     return None
@@ -70,7 +80,7 @@ def read_months(spark: SparkSession, root, months: list[str], kind: str) -> Data
 
 def read_csv(spark: SparkSession, path) -> DataFrame:
     """A CSV table, every value a text."""
-    return spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(str(path))
+    return parts.read_csv(spark, path)
 
 
 def csv_columns(records: DataFrame, kind: str) -> DataFrame:
@@ -83,21 +93,22 @@ def write_single(df: DataFrame, path, kind: str = "csv", order: list | None = No
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     work = path.parent / f".work-{uuid.uuid4().hex}"
-    df = (df.orderBy(*order) if order else df).coalesce(1)
+    df, spark = df.orderBy(*order) if order else df, df.sparkSession
     if kind == "csv":
         df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.options(**_CSV).csv(str(work))
+        n = read_csv(spark, work).count()
     else:
-        df.write.option("compression", "gzip" if path.suffix == ".gz" else "none").text(str(work))
-    parts = sorted(p for p in work.iterdir() if p.name.startswith("part-"))
-    if parts:
-        parts[0].replace(path)
+        df.write.option("maxRecordsPerFile", PART_ROWS).option("compression", "gzip" if path.suffix == ".gz" else "none").text(str(work))
+        n = parts.read_lines(spark, work).count()
+    made = sorted((p for p in work.iterdir() if p.name.startswith("part-")), key=_in_order)
+    if made:
+        parts.join(made, path, kind == "csv")
     elif path.suffix == ".gz":
         path.write_bytes(gzip.compress(b""))
     else:
         path.write_text(",".join(df.columns) + "\n" if kind == "csv" else "")
     shutil.rmtree(work)
-    spark = df.sparkSession
-    return (read_csv(spark, path) if kind == "csv" else spark.read.option("lineSep", "\n").text(str(path))).count()
+    return n
 
 
 def write_grouped(df: DataFrame, root, name: str, keys: dict[str, str], kind: str, order: list[str]) -> list[Path]:
@@ -108,18 +119,18 @@ def write_grouped(df: DataFrame, root, name: str, keys: dict[str, str], kind: st
     work = root / f".work-{uuid.uuid4().hex}"
     keyed = df.withColumns({f"_{k}": F.col(c) for k, c in keys.items()})
     levels = [f"_{k}" for k in keys]
-    keyed = keyed.repartition(*levels).sortWithinPartitions(*levels, *order)
+    keyed = keyed.repartitionByRange(*levels, *order).sortWithinPartitions(*levels, *order)
     if kind == "jsonl":
-        keyed.select(*levels, F.col("raw").alias("value")).write.partitionBy(*levels).option("compression", "gzip").text(str(work))
+        keyed.select(*levels, F.col("raw").alias("value")).write.partitionBy(*levels).options(maxRecordsPerFile=PART_ROWS, compression="gzip").text(str(work))
     else:
         columns = [c for c in df.columns if c not in ("raw", "line_no", *keys.values())]
         keyed.select(*levels, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).write.partitionBy(*levels).options(**_CSV).csv(str(work))
     out = []
-    for part in sorted(work.rglob("part-*")):
-        values = [p.partition("=")[2] for p in part.parent.relative_to(work).parts]
+    for folder in sorted({p.parent for p in work.rglob("part-*")}):
+        values = [p.partition("=")[2] for p in folder.relative_to(work).parts]
         to = root.joinpath(*values, name)
         to.parent.mkdir(parents=True, exist_ok=True)
-        part.replace(to)
+        parts.join(sorted(folder.glob("part-*"), key=_in_order), to, kind == "csv")
         out.append(to)
     shutil.rmtree(work)
     return out
