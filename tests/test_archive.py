@@ -5,6 +5,7 @@ import gzip
 import io
 import json
 
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -424,3 +425,13 @@ def test_files_in_parts(spark, tmp_path):
     assert parts.read_csv(spark, tmp_path / "cr.csv", 200).count() == 500
     (tmp_path / "gaps.csv").write_bytes(b'a,b\n' + b'1,""\n\n2\n,\n3,4,5\n' * 100)
     assert parts.read_csv(spark, tmp_path / "gaps.csv", 200).collect() == parts.read_csv(spark, tmp_path / "gaps.csv").collect()
+
+
+def test_threads_are_walked_in_small_lots():
+    n, names = 230_000, ["month", "submission_id", "id", "parent_id", "author", "created_utc", "s_author", "s_created"]
+    threads = [f"t{k // 7:06}" for k in range(n)]
+    cols = [["m"] * n, threads, [f"c{k}" for k in range(n)], [f"t3_{t}" if k % 7 == 0 else f"t1_c{k - 1}" for k, t in enumerate(threads)], ["a"] * n, [0] * n, ["b"] * n, [0] * n]
+    rows = pa.table(dict(zip(names, cols)))
+    out = list(tree._threads(iter(rows.to_batches(max_chunksize=10_000))))
+    assert max(b.num_rows for b in out) <= 60_000 and sum(b.num_rows for b in out) == n
+    assert [d for b in out for d in b.column(4).to_pylist()] == [k % 7 for k in range(n)]

@@ -24,7 +24,7 @@ from ..sources.tables import materialize
 from .filters import last_wins
 
 #: Rows walked at once, about; and comments of a thread that a task walks at most.
-PART = 200_000
+PART = 50_000
 LARGE = 1_000_000
 
 _NAMES = ["month", "submission_id", "id", "parent", "depth", "walk_order", "author", "created_utc", "parent_author", "parent_created_utc", "thread_size"]
