@@ -435,3 +435,14 @@ def test_threads_are_walked_in_small_lots():
     out = list(tree._threads(iter(rows.to_batches(max_chunksize=10_000))))
     assert max(b.num_rows for b in out) <= 60_000 and sum(b.num_rows for b in out) == n
     assert [d for b in out for d in b.column(4).to_pylist()] == [k % 7 for k in range(n)]
+
+
+def test_trees_need_few_columns(spark, archive, tmp_path):
+    extract.SubredditExtractor(archive, tmp_path, ["tea"], "jsonl", spark=spark).run("2020-01", "2020-01")
+    d = community.load_subreddit(tmp_path / "tea", spark)
+    c, s, t = d._once(None, community.COMMENT_CORE, community.SUBMISSION_CORE)
+    assert c.columns == list(community.COMMENT_CORE) and s.columns == list(community.SUBMISSION_CORE)
+    assert all("steps/" in f for df in (c, s) for f in df.inputFiles())  # parsed once
+    every = d._once(None)
+    assert sorted(t.collect()) == sorted(every[2].collect()) and sorted(c.collect()) == sorted(every[0].select(*c.columns).collect())
+    assert d.export_comment_graph(tmp_path / "g")["edges"] == t.count()

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from ..operators import filters, frames, graph, signals, tree
 from ..session import session
 from ..sources import files, parts
+from ..sources.tables import materialize
+
+#: What trees and graphs need of records, and what detectors see besides.
+COMMENT_CORE = ("month", "line_no", "id", "link_id", "parent_id", "author", "created_utc", "score")
+SUBMISSION_CORE = ("month", "line_no", "id", "author", "created_utc", "score", "title")
+_SEEN = ("stickied", "distinguished", "removed_by_category")
 
 
 @dataclass
@@ -63,9 +69,15 @@ class SubredditData:
     def tree(self, month: str | None = None) -> DataFrame:
         return tree.build(self.comments(month), self.submissions(month), self.link_scope)
 
-    def _once(self, month: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(comments, submissions, tree), of records with one id the last; over all months an id counts once."""
-        c, s = (filters.last_wins(df, "id", ("month", "line_no")) for df in (self.comments(month), self.submissions(month)))
+    def _once(self, month: str | None, *columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(comments, submissions, tree), of records with one id the last; over all months an id counts once. With the columns that
+        are wanted of comments and of submissions, files are parsed once and records shuffled without all others."""
+        both = [self.comments(month), self.submissions(month)]
+        if columns:
+            both = [df.select(*names) for df, names in zip(both, columns)]
+        c, s = (filters.last_wins(df, "id", ("month", "line_no")) for df in both)
+        if columns:
+            c, s = materialize(c, "comments"), materialize(s, "submissions")
         return c, s, tree.build(c, s, self.link_scope)
 
     def threads(self, month: str | None = None) -> DataFrame:
@@ -108,13 +120,13 @@ class SubredditData:
         return frames.submissions_frame(self.submissions(month), self.signals(month) if signals else None, fill_signals)
 
     def export_comment_graph(self, output_dir, month: str | None = None) -> dict[str, int]:
-        c, s, t = self._once(month)
-        out = Path(output_dir)
+        c, s, t = self._once(month, COMMENT_CORE, SUBMISSION_CORE)
+        out, t = Path(output_dir), materialize(t, "tree")
         return {"nodes": files.write_single(graph.comment_nodes(t, s, c), out / "comment_graph_nodes.csv"), "edges": files.write_single(graph.comment_edges(t), out / "comment_graph_edges.csv")}
 
     def export_author_graph(self, output_dir, month: str | None = None) -> dict[str, int]:
-        c, s, t = self._once(month)
-        out = Path(output_dir)
+        c, s, t = self._once(month, COMMENT_CORE, SUBMISSION_CORE)
+        out, t = Path(output_dir), materialize(t, "tree")
         return {"nodes": files.write_single(graph.author_nodes(t, s, c), out / "author_graph_nodes.csv", order=["author"]), "edges": files.write_single(graph.author_edges(t), out / "author_graph_edges.csv", order=["source", "target"])}
 
 
@@ -168,13 +180,14 @@ class SignalDetector:
         self.detectors, self.data = detectors, SubredditData(extracted_path, spark)
 
     def detect(self, month: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-        c, s, t = self.data._once(month)
+        c, s, t = self.data._once(month, (*COMMENT_CORE, "body", *_SEEN), (*SUBMISSION_CORE, "selftext", *_SEEN))
         return signals.detect(frames.signal_rows(t, c, s), self.detectors, keep)
 
     def run_month(self, month: str) -> int:
         if not (self.data.path / month / "submissions.jsonl.gz").exists():
             return 0
-        found = in_walk_order(self.detect(month, ("submission_id", "walk_order")), self.data.submissions(month))
+        found = materialize(self.detect(month, ("submission_id", "walk_order")), "signals")  # sorting reads it twice
+        found = in_walk_order(found, self.data.submissions(month))
         return files.write_single(found, self.data.path / month / "signals.csv")
 
     def run_all_months(self) -> dict[str, int]:

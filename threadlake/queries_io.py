@@ -344,7 +344,7 @@ _LAST = f"WITH RECURSIVE {_OWN}, {_ONCE}, " + _T.split(f"WITH RECURSIVE {_OWN},
 def comments_with_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     def get(d: community.SubredditData) -> DataFrame:
         found = d.signals().select("record_id", "record_type", "top_level_comment").distinct()
-        c, s, t = d._once(None)
+        c, s, t = d._once(None, community.COMMENT_CORE, community.SUBMISSION_CORE)
         from .operators.frames import comments_frame
 
         return comments_frame(t, c, s, found, fill_signals=True)
